@@ -1,0 +1,51 @@
+"""Registered queries of the container operators, and the same results in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a query under its name, with its oracle if SQL can express it."""
+
+    def put(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(
+    "seq_decode_time",
+    """
+    WITH s AS (SELECT user_id, event_id, ts, row_number() OVER w - 1 AS sample_idx,
+               coalesce(CAST((epoch_us(lead(ts) OVER w) - epoch_us(ts)) // 43200000000 AS BIGINT), 0) AS duration
+               FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, sample_idx, duration,
+           CAST(sum(duration) OVER (PARTITION BY user_id ORDER BY sample_idx) - duration AS BIGINT) AS decode_time
+    FROM s
+    """,
+)
+def seq_decode_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = table(spark, sf_dir, "events").select(
+        "user_id",
+        (F.row_number().over(by) - 1).cast("long").alias("sample_idx"),
+        F.coalesce(F.expr("0L") + ((F.lead(us).over(by) - us) / F.lit(43_200_000_000)).cast("long"), F.lit(0)).alias("duration"),
+    )
+    run = F.sum("duration").over(W.partitionBy("user_id").orderBy("sample_idx"))
+    return s.select("user_id", "sample_idx", "duration", (run - F.col("duration")).alias("decode_time"))
