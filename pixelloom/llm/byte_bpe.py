@@ -32,7 +32,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from pixelloom.llm.common import bound_batches
+from pixelloom.llm.common import prepare
 
 #: Characters of a leaf.
 LEAF_CHARS = 16384
@@ -166,7 +166,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Repeated rows give repeated results, an empty table none, a null id stays
     null; other columns are not read. No shuffle: one pass over the rows.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns of docs and ids_col, array<int>: the ids of the whole text (empty for null). A column of that name is replaced."""
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rest = docs.drop(ids_col)
     at = rest.columns.index(text_col)
 
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """All columns of rows and bytes_col, binary: the bytes of ids (empty for null). A column of that name is replaced."""
-    bound_batches(rows.sparkSession)
+    prepare(rows.sparkSession)
     rest = rows.drop(bytes_col)
     at = rest.columns.index(ids_col)
 

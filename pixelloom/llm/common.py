@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.session import ship
+
 #: Bytes of one Arrow batch sent to a Python worker; keeps a worker's memory independent of row widths.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -18,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, so rows that hold whole texts or blocks never add up."""
+def prepare(spark: SparkSession) -> None:
+    """Ships this package, and bounds Arrow batches by bytes, so rows that hold whole texts or blocks never add up."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 

@@ -6,19 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelloom.llm import byte_bpe
+from pixelloom.llm import byte_bpe, embedding_dedup, langid, maxscore, minhash_dedup, packing, quality
 from pixelloom.llm.common import table
+from pixelloom.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Rank file of operator 10.
+#: Rank file of operator 10 and tokenizer file of operator 7.
 BYTE_RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+WORD_TOKENIZER = P.path("word_bpe_49k.json")
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1, length=2048))
+
+
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, P.PATTERN)
 
 
-QUERIES["op10_byte_bpe"] = op10_byte_bpe
+QUERIES |= {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op6_quality, op7_packing, op8_maxscore, op9_minhash_dedup, op10_byte_bpe)}
