@@ -1 +1,170 @@
-"""Queries."""
+"""Metadata queries: orders are items, their lines property links, parts properties; keys in fixed residue classes play the types."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelloom.operators import metadata as meta
+from pixelloom.queries.registry import query, table
+
+#: A part's property type.
+_KINDS = ("ispe", "imir", "colr", "irot", "pixi", "clap")
+_KIND_SQL = "['ispe', 'imir', 'colr', 'irot', 'pixi', 'clap'][l_partkey % 6 + 1]"
+
+
+def kind(key: str):
+    return F.element_at(F.array(*map(F.lit, _KINDS)), (F.col(key) % 6 + 1).cast("int"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind("l_partkey").alias("kind"))
+
+
+_ORDER = "l_linenumber, l_partkey, l_suppkey"
+
+
+@query(
+    "meta_props_in_order",
+    "SELECT l_orderkey, l_partkey, p_type, p_partkey IS NULL AS dangling, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY rank, l_partkey) AS INTEGER) AS pos FROM (SELECT *, l_linenumber * 1000 + l_suppkey % 1000 AS rank FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5",
+)
+def meta_props_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = links(spark, sf_dir).withColumn("rank", F.col("l_linenumber") * 1000 + F.col("l_suppkey") % 1000)
+    props = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return meta.properties_in_order(rows, props, "l_orderkey", "l_partkey", "rank").select("l_orderkey", "l_partkey", "p_type", "dangling", "pos")
+
+
+@query("meta_first_property", f"SELECT l_orderkey, {_KIND_SQL} AS kind, min_by(l_partkey, l_linenumber * 1000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY ALL")
+def meta_first_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.first_property(links(spark, sf_dir), "l_orderkey", "kind", "l_partkey", "l_linenumber")
+
+
+@query("meta_list_by_type", f"SELECT l_orderkey, id, l_partkey FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS INTEGER) AS id, {_KIND_SQL} AS kind FROM lineitem) WHERE kind = 'colr'")
+def meta_list_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.numbered(links(spark, sf_dir), "l_orderkey", _ORDER.split(", "), F.col("kind") == "colr").select("l_orderkey", "id", "l_partkey")
+
+
+@query("meta_transformative", f"SELECT l_orderkey, id, kind FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS INTEGER) AS id, {_KIND_SQL} AS kind FROM lineitem) WHERE kind IN ('imir', 'irot', 'clap')")
+def meta_transformative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.numbered(links(spark, sf_dir), "l_orderkey", _ORDER.split(", "), F.col("kind").isin(*meta.TRANSFORMATIVE)).select("l_orderkey", "id", "kind")
+
+
+@query("meta_stable_partition", f"SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN {_KIND_SQL} IN ('imir', 'irot', 'clap') THEN 1 ELSE 0 END, {_ORDER}) AS INTEGER) AS pos FROM lineitem")
+def meta_stable_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.descriptive_first(links(spark, sf_dir), "l_orderkey", _ORDER.split(", "), F.col("kind")).select("l_orderkey", "l_partkey", "pos")
+
+
+@query("meta_ref_first_match", "SELECT l_suppkey, l_returnflag, l_linenumber, l_partkey FROM (SELECT *, dense_rank() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey) AS r FROM lineitem) WHERE r = 1")
+def meta_ref_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.first_reference(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+#: References between customers: every seventh is a thumbnail of key // 7, every eleventh auxiliary to key // 11, some point at themselves or nowhere.
+_REFS = """
+refs AS (SELECT c_custkey AS src, CASE WHEN c_custkey % 7 = 0 THEN 'thmb' WHEN c_custkey % 11 = 0 THEN 'auxl' ELSE 'cdsc' END AS kind,
+ CASE WHEN c_custkey % 13 = 0 THEN c_custkey WHEN c_custkey % 17 = 0 THEN c_custkey + 100000000 WHEN c_custkey % 7 = 0 THEN c_custkey // 7 WHEN c_custkey % 11 = 0 THEN c_custkey // 11 ELSE c_custkey // 3 END AS dst
+ FROM customer WHERE c_custkey > 0 AND (c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 5 = 0))"""
+
+
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    by = lambda n: F.floor(k / n)
+    kinds = F.when(k % 7 == 0, "thmb").when(k % 11 == 0, "auxl").otherwise("cdsc")
+    target = F.when(k % 13 == 0, k).when(k % 17 == 0, k + 100_000_000).when(k % 7 == 0, by(7)).when(k % 11 == 0, by(11)).otherwise(by(3))
+    return table(spark, sf_dir, "customer").where((k > 0) & ((k % 7 == 0) | (k % 11 == 0) | (k % 5 == 0))).select(k.alias("src"), kinds.alias("kind"), target.alias("dst"))
+
+
+@query("meta_top_level", f"WITH {_REFS} SELECT c_custkey FROM customer WHERE c_acctbal >= 0 AND NOT EXISTS (SELECT 1 FROM refs WHERE src = c_custkey AND kind IN ('thmb', 'auxl'))")
+def meta_top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.top_level(table(spark, sf_dir, "customer"), refs(spark, sf_dir), "c_custkey", F.col("c_acctbal") < 0, "src", "kind").select("c_custkey")
+
+
+@query(
+    "meta_attach",
+    f"""WITH {_REFS} SELECT src, kind, dst, CASE WHEN src = dst THEN 'self' WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = dst) THEN 'dangling'
+    WHEN kind = 'thmb' AND EXISTS (SELECT 1 FROM refs AS t WHERE t.src = refs.dst AND t.kind = 'thmb') THEN 'thumbnail of a thumbnail' END AS problem FROM refs""",
+)
+def meta_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.attached(table(spark, sf_dir, "customer"), refs(spark, sf_dir), "c_custkey", "src", "kind", "dst")
+
+
+@query("meta_dup_ref_check", "SELECT l_suppkey, l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def meta_dup_ref_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.duplicate_references(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag", "l_partkey")
+
+
+@query("meta_dedupe_box", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents")
+def meta_dedupe_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "first")
+
+
+@query("meta_merge_links", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A'")
+def meta_merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return meta.merged([rows.where("l_returnflag = 'A'").select("l_orderkey", "l_partkey"), rows.where("l_returnflag <> 'A'").select("l_orderkey", "l_partkey")])
+
+
+@query("meta_add_brand", "SELECT p_partkey, CASE WHEN p_brand IN ('mif1', 'heic') THEN 'mif1,heic' ELSE 'mif1,heic,' || p_brand END AS brands FROM part")
+def meta_add_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(meta.with_brand(F.array(F.lit("mif1"), F.lit("heic")), F.col("p_brand")), ",").alias("brands"))
+
+
+@query("topk_decoder", "SELECT p_type, p_name, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY CASE WHEN p_brand = 'Brand#13' THEN 0 ELSE 1 END, p_size DESC, p_name) AS r FROM (SELECT DISTINCT p_type, p_name || '/' || p_partkey AS p_name, p_size, p_brand FROM part)) WHERE r = 1")
+def topk_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").withColumn("p_name", F.concat_ws("/", "p_name", "p_partkey"))
+    return meta.best_decoder(rows, "p_type", "p_size", "p_name", F.col("p_brand") == "Brand#13")
+
+
+@query("topk_decoders_listed", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 20")
+def topk_decoders_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoder list's own limit."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(20)
+
+
+@query(
+    "pyramid_layers",
+    """SELECT p_brand, p_partkey, CAST(row_number() OVER w - 1 AS INTEGER) AS layer, CAST(max(p_size) OVER (PARTITION BY p_brand) // p_size AS BIGINT) AS binning,
+    coalesce(floor(p_retailprice) >= max(floor(p_retailprice)) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)""",
+)
+def pyramid_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.pyramid(table(spark, sf_dir, "part").withColumn("h", F.floor("p_retailprice")), "p_brand", "p_partkey", "p_size", "h")
+
+
+@query("thumbnail_sizes", "SELECT p_partkey, CAST(CASE WHEN w <= 256 AND h <= 256 THEN NULL WHEN w > h THEN 256 ELSE w * 256 // h - w * 256 // h % 2 END AS INTEGER) AS tw, CAST(CASE WHEN w <= 256 AND h <= 256 THEN NULL WHEN w > h THEN h * 256 // w - h * 256 // w % 2 ELSE 256 END AS INTEGER) AS th FROM (SELECT p_partkey, p_size * 20 AS w, 100 + p_partkey % 900 AS h FROM part)")
+def thumbnail_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = meta.thumbnail_size(F.col("p_size") * 20, 100 + F.col("p_partkey") % 900, 256)
+    return table(spark, sf_dir, "part").select("p_partkey", w.alias("tw"), h.alias("th"))
+
+
+#: Derivations: nations come from regions (ids from 1000), and a chain of suppliers ends in a loop for every tenth.
+_EDGES = """
+edges AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey + 1000 AS BIGINT) AS b FROM nation
+ UNION ALL SELECT s_suppkey + 5000, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 5009 ELSE s_suppkey + 4999 END FROM supplier WHERE s_suppkey <= 90)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    chain = table(spark, sf_dir, "supplier").where("s_suppkey <= 90").select((k + 5000).alias("a"), F.when((k % 10 == 0) & (k % 20 == 0), k + 5009).otherwise(k + 4999).alias("b"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 1000).cast("long").alias("b"))
+    return nations.union(chain)
+
+
+_EDGES = _EDGES.replace("s_suppkey % 10 = 0 THEN", "s_suppkey % 20 = 0 THEN")
+_WALK = f"WITH RECURSIVE {_EDGES}, w AS (SELECT a AS start, b AS node, 1 AS depth, [a, b] AS path, a = b AS cycle FROM edges UNION ALL SELECT w.start, e.b, w.depth + 1, list_append(w.path, e.b), list_contains(w.path, e.b) FROM w JOIN edges AS e ON e.a = w.node WHERE NOT w.cycle) "
+
+
+@query("graph_cycle_check", _WALK + "SELECT start, bool_or(cycle) AS cyclic FROM w GROUP BY start")
+def graph_cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.cyclic(edges(spark, sf_dir), "a", "b")
+
+
+@query("graph_first_coded", _WALK + "SELECT start, CASE WHEN NOT max_by(cycle, depth) THEN max_by(node, depth) END AS node FROM w GROUP BY start")
+def graph_first_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.first_coded(edges(spark, sf_dir), "a", "b", "b")
+
+
+@query("graph_any_alpha", _WALK + "SELECT start, bool_or(node % 3 = 0) OR start % 3 = 0 AS flag FROM w GROUP BY start")
+def graph_any_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    nodes = e.select("a").union(e.select("b")).where("a % 3 = 0")
+    return meta.has_flag(e, nodes, "a", "b", "a")
