@@ -1,11 +1,13 @@
 """Operator 9: near-duplicate documents by MinHash bands and odd sketches.
 
-Texts become sets of word shingles (64-bit hashes). MinHash samples are cut
-into bands; equal bands make buckets. The samples are also folded into an
-odd sketch, a bitmap of the parity of hits: the population count of the XOR
-of two sketches is at most twice the number of samples that differ, so a
-pair above the bound that a pair at the threshold keeps with probability
-1 - LOSS is no candidate. All others are confirmed on their full sets.
+Texts become sets of word shingles (64-bit hashes). Some MinHash samples are
+cut into bands; equal bands make buckets. Sets that share a bucket get an odd
+sketch: many more samples, folded into a bitmap of the parity of hits. The
+population count of the XOR of two sketches is at most twice the number of
+samples that differ, so a pair above the bound that a pair at the threshold
+keeps with probability 1 - LOSS is no candidate; with SKETCH_SAMPLES samples
+that is a similarity little below the threshold. All others are confirmed on
+their full sets.
 
 No bucket is expanded into pairs. Sets that are equal are one class. Every
 bucket then compares its classes with one centre, the class that shares
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import prepare, broadcast_if_small, written
 from pixelloom.llm.components import components
 
-#: Bits of an odd sketch.
-SKETCH_BITS = 512
+#: MinHash samples of an odd sketch, and its bits.
+SKETCH_SAMPLES, SKETCH_BITS = 1024, 4096
 #: Probability with which the sketch bound may reject a pair that lies at the threshold.
 LOSS = 1e-7
 #: Rows of a block in the comparison of buckets that are not yet connected.
 BLOCK = 256
-#: Words whose hash a worker remembers.
-MEMO = 300_000
+#: Words whose hash a task remembers.
+MEMO = 150_000
 #: Ids that a broadcast may hold (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -85,43 +87,44 @@ def sketch_bound(samples: int, percent: int) -> int:
     return 0
 
 
-class Signer:
-    """MinHash samples, band keys and odd sketches of shingle sets."""
+class Samples:
+    """MinHash samples of shingle sets, by multiply-add on 32 bits."""
 
-    def __init__(self, bands: int, rows: int, seed: int = 1):
+    def __init__(self, n: int, seed: int):
         r = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = r.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.b = r.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+        self.a = r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+        self.b = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        self.step = max(16, (1 << 17) // n)  # stays in a core's cache
 
-    def samples(self, s: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray) -> np.ndarray:
+        x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
         low = None
-        for i in range(0, len(s), 2048):
-            part = (self.a[:, None] * s[None, i : i + 2048] + self.b[:, None]).min(1)
+        for i in range(0, len(x), self.step):
+            part = (self.a[:, None] * x[None, i : i + self.step] + self.b[:, None]).min(1)
             low = part if low is None else np.minimum(low, part)
         return low
 
-    def keys_and_sketches(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """m: samples, one row per document -> (band keys int64, sketches of SKETCH_BITS // 64 int64 words)."""
-        key = np.arange(self.bands, dtype=np.uint64)[None, :].repeat(len(m), 0)
-        for i in range(self.rows):
-            key = _mixed(key * _MIX + m[:, i :: self.rows])
-        at = (_mixed(m + np.arange(m.shape[1], dtype=np.uint64) * _MIX) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        flat = (np.arange(len(m))[:, None] * SKETCH_BITS + at).ravel()
-        odd = (np.bincount(flat, minlength=len(m) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(m), SKETCH_BITS)
-        return key.view(np.int64), np.packbits(odd, axis=1).view(np.int64)
 
+def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """m: samples, one row per set -> int64 keys of its bands."""
+    key = np.arange(bands, dtype=np.uint64)[None, :].repeat(len(m), 0)
+    for i in range(rows):
+        key = _mixed(key * _MIX + m[:, i :: rows].astype(np.uint64))
+    return key.view(np.int64)
 
-def _lists(a: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32) if a.shape[1] else np.zeros(len(a) + 1, np.int32), pa.array(np.ascontiguousarray(a).ravel()))
+
+def odd_sketch(m: np.ndarray) -> np.ndarray:
+    """The samples of one set -> SKETCH_BITS // 64 int64 words of parities (to be counted as unsigned)."""
+    at = _mixed(m.astype(np.uint64) + np.arange(len(m), dtype=np.uint64) * _MIX) % np.uint64(SKETCH_BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, h1, h2, keys, sketch): set size, 128-bit hash of the set, band keys and odd sketch; the last four null for an empty set."""
+    """(id, n_shingles, h1, h2, keys): set size, 128-bit hash of the set and band keys; the last three null for an empty set."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        samples = Samples(bands * rows, 1)
         for batch in batches:
             n, h, m, full = [], [], [], []
             for text in batch.column(1):
@@ -131,31 +134,36 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                 if len(s):
                     d = xxhash.xxh3_128_digest(s.data)
                     h.append(np.frombuffer(d, np.int64))
-                    m.append(signer.samples(s))
+                    m.append(samples.of(s))
                 else:
                     h.append(np.zeros(2, np.int64))
-                    m.append(np.zeros(bands * rows, np.uint64))
+                    m.append(np.zeros(bands * rows, np.uint32))
             if not n:
                 continue
-            keys, sketch = signer.keys_and_sketches(np.array(m))
+            keys = band_keys(np.array(m), bands, rows)
             none = ~np.array(full)
             h = np.array(h)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()), mask=pa.array(none)) for x in (keys, sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(h[:, i], pa.int64(), mask=none) for i in (0, 1)), *lists], ["id", "n_shingles", "h1", "h2", "keys", "sketch"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(h[:, i], pa.int64(), mask=none) for i in (0, 1)), lists], ["id", "n_shingles", "h1", "h2", "keys"])
+        _words.clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, s): the full sets, as bytes, of the documents in ids."""
+    """(id, s, sketch): the full sets, as bytes, and odd sketches of the documents in ids."""
     few = broadcast_if_small(ids, BROADCAST_IDS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(few, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = Samples(SKETCH_SAMPLES, 2)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], ["id", "s"])
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            sketches = pa.array([odd_sketch(samples.of(s)) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], ["id", "s", "sketch"])
+        _words.clear()
 
-    return rows.mapInArrow(run, "id long, s binary")
+    return rows.mapInArrow(run, "id long, s binary, sketch array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,30 +192,43 @@ def _differ(x: str, y: str) -> str:
     return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SKETCH_BITS // 64))
 
 
-def _across(members: DataFrame, bound: int) -> DataFrame:
-    """members (key, id, comp, sketch) -> candidate pairs (a, b) of different components within a key, block against block."""
+def _alike(pairs: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than the bound."""
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
+    both = one.join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.where(f"{_differ('x', 'y')} <= {bound}").select("a", "b")
+
+
+def _across(members: DataFrame, known: DataFrame, bound: int) -> DataFrame:
+    """members (key, id, comp) and known (id, keys, sketch) -> candidate pairs (a, b) of different components that share a key, block against block; each from the first key of both."""
     size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     blocks = (
         members.join(size.select("key", "size"), "key")
+        .join(known, "id")
         .withColumn("block", F.expr(f"pmod(xxhash64(id), cast(ceil(size / {BLOCK}) as long))"))
         .groupBy("key", "block")
-        .agg(F.collect_list(F.struct("id", "comp", "sketch")).alias("m"))
+        .agg(F.collect_list(F.struct("id", "comp", "keys", "sketch")).alias("m"))
     )
     blocks = written(blocks)
-    two = blocks.alias("x").join(blocks.alias("y"), F.expr("x.key = y.key and x.block <= y.block")).select(F.col("x.m").alias("x"), F.col("y.m").alias("y"))
+    two = blocks.alias("x").join(blocks.alias("y"), F.expr("x.key = y.key and x.block <= y.block")).select(F.col("x.key").alias("key"), F.col("x.m").alias("x"), F.col("y.m").alias("y"))
 
     def arrays(m: pa.Scalar) -> tuple[np.ndarray, ...]:
         v = m.values
-        sketch = v.field("sketch")
-        return v.field("id").to_numpy(), v.field("comp").to_numpy(), sketch.flatten().to_numpy().reshape(len(v), -1)
+        return v.field("id").to_numpy(), v.field("comp").to_numpy(), v.field("keys").flatten().to_numpy().reshape(len(v), -1), v.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (ia, ca, sa), (ib, cb, sb) = arrays(x), arrays(y)
-                near = (np.bitwise_count(sa[:, None, :] ^ sb[None, :, :]).sum(2, dtype=np.int32) <= bound) & (ca[:, None] != cb[None, :])
-                i, j = np.nonzero(near)
+            for key, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                (ia, ca, ka, sa), (ib, cb, kb, sb) = arrays(x), arrays(y)
+                i, j = np.nonzero(ca[:, None] != cb[None, :])
+                for lo in range(0, len(i), 16384):
+                    near = np.bitwise_count(sa[i[lo : lo + 16384]] ^ sb[j[lo : lo + 16384]]).sum(1, dtype=np.int32) <= bound
+                    i[lo : lo + 16384][~near] = -1
+                i, j = i[i >= 0], j[i >= 0]
+                both = ka[i][:, :, None] == kb[j][:, None, :]
+                first = np.where(both.any(2), ka[i], np.iinfo(np.int64).max).min(1) == key
+                i, j = i[first], j[first]
                 a.append(np.maximum(ia[i], ib[j]))
                 b.append(np.minimum(ia[i], ib[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -226,27 +247,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     feats = written(features(docs, id_col, text_col, shingle, bands, rows))
     classes = feats.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = written(classes.join(feats, ["h1", "h2"]).where("id = rep").select("id", "keys", "sketch").dropDuplicates(["id"]))
+    reps = written(classes.join(feats, ["h1", "h2"]).where("id = rep").select("id", "keys").dropDuplicates(["id"]))
     entries = reps.select("id", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = entries.join(shared, "key")
     central = members.groupBy("id").agg(F.sum("size").alias("score"))
-    members = written(members.select("key", "id").join(central, "id").join(reps.select("id", "sketch"), "id"))
+    members = written(members.select("key", "id").join(central, "id"))
+    sets = written(_sets(docs, id_col, text_col, written(members.select("id").distinct()), shingle).dropDuplicates(["id"]))
 
-    bound = sketch_bound(bands * rows, percent)
-    centre = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"), "sketch")).alias("c")).select("key", (-F.col("c.neg")).alias("b"), F.col("c.sketch").alias("cs"))
-    pairs = written(members.join(centre, "key").where(f"id <> b and {_differ('sketch', 'cs')} <= {bound}").select(F.col("id").alias("a"), "b").distinct())
+    bound = sketch_bound(SKETCH_SAMPLES, percent)
+    centre = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("b"))
+    pairs = members.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = written(_alike(pairs, sets, bound))
 
-    sets = written(_sets(docs, id_col, text_col, written(members.select("id").distinct()), shingle).dropDuplicates(["id"]))
     links = written(_confirmed(pairs, sets, percent))
     first = written(components(links))
-    labelled = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"), "sketch")
-    more = written(_across(labelled, bound))
+    labelled = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    more = written(_across(labelled, reps.join(sets.select("id", "sketch"), "id"), bound))
     found = _confirmed(more, sets, percent)
     edges = links.union(found)
     comps = components(edges)
 
     known = classes.join(comps, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("comp"))
     out = feats.drop("keys", "sketch").join(known, ["h1", "h2"], "left")
-    comp = F.coalesce("comp", F.col("id"))
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
