@@ -297,3 +297,38 @@ def unpack_bits(packed: Column, n: Size) -> Column:
     """The first n pixels, 0 or 255, of bits in array<int> bytes."""
     bit = lambda i: F.get(packed, div(i, 8)).bitwiseAND(F.pow(F.lit(2), 7 - i % 8).cast("int"))
     return build(n, 1, lambda i, _: F.when(bit(i) != 0, 255).otherwise(0))
+
+
+def overlay_stack(canvas: Column, w: Size, h: Size, layers: Column, iw: Size, ih: Size) -> Column:
+    """Layers, an ordered array<struct<x, y, v, a>> of planes of iw x ih with alpha (null: opaque), drawn one after another."""
+
+    def draw(c: Column, layer: Column) -> Column:
+        def pixel(x: Column, y: Column) -> Column:
+            inside = (x >= layer["x"]) & (x < layer["x"] + _c(iw)) & (y >= layer["y"]) & (y < layer["y"] + _c(ih))
+            s, d = at(layer["v"], iw, x - layer["x"], y - layer["y"]), at(c, w, x, y)
+            a = F.coalesce(at(layer["a"], iw, x - layer["x"], y - layer["y"]), F.lit(255))
+            return F.when(inside, div(s * a + d * (255 - a), 255)).otherwise(d)
+
+        return build(w, h, pixel)
+
+    return F.aggregate(layers, canvas, draw)
+
+
+def stored_tile(tx: Column, ty: Column, cols: Column, rows: Column, properties: Column) -> Column:
+    """struct<x, y>: the stored tile that is shown at (tx, ty) of a grid of cols x rows, as displayed, by undoing properties (imir, irot) from the last to the first."""
+    start = F.struct(tx.cast("int").alias("x"), ty.cast("int").alias("y"), cols.cast("int").alias("w"), rows.cast("int").alias("h"))
+
+    def undo(t: Column, p: Column) -> Column:
+        s = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+        x, y, w, h = (t[k] for k in "xywh")
+        mir, rot = p["kind"] == "imir", p["kind"] == "irot"
+        return (
+            F.when(mir & (p["value"] == 1), s(w - 1 - x, y, w, h))
+            .when(mir, s(x, h - 1 - y, w, h))
+            .when(rot & (p["value"] == 90), s(h - 1 - y, x, h, w))
+            .when(rot & (p["value"] == 180), s(w - 1 - x, h - 1 - y, w, h))
+            .when(rot & (p["value"] == 270), s(y, w - 1 - x, h, w))
+            .otherwise(t)
+        )
+
+    return F.aggregate(F.reverse(properties), start, undo, lambda t: F.struct(t["x"], t["y"]))

@@ -112,3 +112,25 @@ def test_chroma_conversions_preserve_constants(spark):
     assert set(ev(spark, px.average_420(v, 4, 3))) == {77}
     assert set(ev(spark, px.bilinear_422(v, 8, 3))) == {77}
     assert set(ev(spark, px.demosaic(v, 4, 3, [["R", "G"], ["G", "B"]], "G"))) == {77}
+
+
+def test_overlay_stack_equals_single_overlays(spark):
+    layer = lambda x, y, v, a: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), v.alias("v"), a.alias("a"))
+    none = F.lit(None).cast("array<int>")
+    one, two, half = arr(10, 20, 30, 40), arr(200, 210, 220, 230), arr(128, 0, 255, 64)
+    stack = F.array(layer(-1, 0, one, none), layer(1, 1, two, half))
+    got = ev(spark, px.overlay_stack(px.filled(3, 3, 5), 3, 3, stack, 2, 2))
+    assert got == ev(spark, px.overlay(px.overlay(px.filled(3, 3, 5), 3, 3, one, None, 2, 2, -1, 0), 3, 3, two, half, 2, 2, 1, 1))
+
+
+def test_stored_tile_follows_the_pixels(spark):
+    for steps in ([], [("irot", 90)], [("irot", 270), ("imir", 1)], [("imir", 0), ("irot", 90), ("imir", 1)], [("irot", 180)]):
+        plane, w, h = arr(*range(6)), 3, 2
+        for kind, v in steps:
+            plane = px.mirror(plane, w, h, v == 1) if kind == "imir" else px.rotate_ccw(plane, w, h, v)
+            w, h = (h, w) if kind == "irot" and v in (90, 270) else (w, h)
+        shown = ev(spark, plane)
+        props = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in steps]) if steps else F.array().cast("array<struct<kind:string,value:int>>")
+        for y, x in itertools.product(range(h), range(w)):
+            t = ev(spark, px.stored_tile(F.lit(x), F.lit(y), F.lit(w), F.lit(h), props))
+            assert shown[y * w + x] == t.y * 3 + t.x

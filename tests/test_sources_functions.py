@@ -196,3 +196,56 @@ def test_limits():
     for bad in ([10], [10, 10, 0], [1 << 20, 1 << 20]):
         with pytest.raises(ValueError):
             n_tiles(bad, [1] * len(bad))
+
+
+REGIONS = [
+    {"kind": "point", "x": 100, "y": 200},
+    {"kind": "rectangle", "x": 150, "y": 250, "w": 30, "h": 50},
+    {"kind": "polyline", "points": [{"x": 10, "y": 20}, {"x": 15, "y": 20}, {"x": 15, "y": 50}]},
+    {"kind": "ellipse", "x": 350, "y": 450, "w": 60, "h": 80},
+    {"kind": "polygon", "points": [{"x": 100, "y": 120}, {"x": 115, "y": 120}, {"x": 125, "y": 150}]},
+    {"kind": "referenced_mask", "x": -5, "y": 6, "w": 7, "h": 8},
+    {"kind": "inline_mask", "x": 1, "y": 2, "w": 5, "h": 3, "mask": b"\xaa\x80"},
+]
+
+
+@pytest.mark.parametrize("shift", [0, 100_000])
+def test_regions_round_trip(spark, shift):
+    from pixelloom.sources import regions
+
+    own = [{**r, **({"x": r["x"] + shift} if "x" in r else {})} for r in REGIONS]
+    data = regions.compose(1280, 1024, own)
+    assert data[1] == (shift > 0)
+    df = spark.createDataFrame([(1, data), (2, data[:-1]), (3, None)], "item long, data binary")
+    got = regions.regions(df, "item").collect()
+    good = [r for r in got if r.item == 1]
+    for r, want in zip(good, own, strict=True):
+        assert (r.reference_w, r.reference_h, r.kind) == (1280, 1024, want["kind"])
+        assert [r.x, r.y, r.w, r.h] == [want.get(k) for k in "xywh"]
+        assert [p.asDict() for p in r.points or []] == want.get("points", [])
+        assert (bytes(r.mask) if r.mask else None) == want.get("mask")
+    assert [r.error for r in got if r.item != 1] == ["region data incomplete"] * 2
+
+
+def test_exif_orientation():
+    from pixelloom.sources import regions
+
+    for order, mark in (("<", b"II"), (">", b"MM")):
+        sub = struct.pack(order + "HHHIHHI", 1, regions.ORIENTATION, 3, 1, 6, 0, 0)
+        main = struct.pack(order + "HHHIII", 1, regions.EXIF_DIRECTORY, 4, 1, 26, 0)
+        exif = mark + struct.pack(order + "HI", 42, 8) + main + sub
+        assert regions.orientation(exif) == 6
+        assert regions.orientation(regions.with_orientation(exif, 3)) == 3
+        loop = mark + struct.pack(order + "HI", 42, 8) + struct.pack(order + "HI", 0, 8)
+        assert regions.orientation(loop) == 1
+    assert regions.orientation(b"") == 1 and regions.with_orientation(b"xx", 3) == b"xx"
+
+
+def test_cues_and_listing(spark, contents, tmp_path):
+    from pixelloom.sources import regions
+
+    (tmp_path / "a.vmt").write_text("HEADER\n\n00:01.500 --> 00:02.000\nYWJj\nZGVm\n\nnote\n\n01:00:00.000 --> 01:00:00.250\n!!!\n")
+    got = [(r.cue, r.from_ms, r.to_ms, r.data and bytes(r.data)) for r in regions.cues(spark, str(tmp_path / "a.vmt")).orderBy("cue").collect()]
+    assert got == [(0, 1500, 2000, b"abcdef"), (1, 3_600_000, 3_600_250, None)]
+    lines = [r.text for r in regions.listing(isobmff.table(contents, "boxes")).where(F.col("path").endswith("a.heic")).orderBy("line").collect()]
+    assert lines[0].startswith("Box: ftyp -----  size: ") and any(x.startswith("| | Box: ispe") or x.startswith("| | | Box: ispe") for x in lines)
