@@ -166,3 +166,20 @@ def plane_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("plane_depth", f"WITH {P} SELECT vec_id, CAST(max(CASE WHEN v < 2 THEN 1 ELSE floor(log2(v)) + 1 END) AS INTEGER) AS bits FROM p GROUP BY vec_id")
 def plane_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("vec_id", F.greatest(F.lit(1), F.length(F.bin(F.array_max("v")))).alias("bits"))
+
+
+@query(
+    "plane_overlay_stack",
+    f"""WITH {P}, g AS (SELECT vec_id, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy FROM embeddings, (SELECT unnest(range(10)) AS gx), (SELECT unnest(range(9)) AS gy)),
+    l AS (SELECT g.*, coalesce(a.v, 50) AS c, b.v AS s FROM g LEFT JOIN p AS a ON a.vec_id = g.vec_id AND a.x = gx - 1 AND a.y = gy - 1 LEFT JOIN p AS b ON b.vec_id = g.vec_id AND b.x = 7 - (gx + 2) AND b.y = gy - 3)
+    SELECT vec_id, gx AS x, gy AS y, CAST(CASE WHEN s IS NULL THEN c ELSE (s * (255 - s) + c * (255 - (255 - s))) // 255 END AS INTEGER) AS v FROM l""",
+)
+def plane_overlay_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An opaque layer and a mirrored one with alpha on a canvas of 10 x 9."""
+    none = F.lit(None).cast("array<int>")
+    rows = images(spark, sf_dir).withColumn("m", px.mirror(F.col("v"), 8, 8, True))
+    layers = F.array(
+        F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.col("v").alias("v"), none.alias("a")),
+        F.struct(F.lit(-2).alias("x"), F.lit(3).alias("y"), F.col("m").alias("v"), F.transform("m", lambda x: 255 - x).alias("a")),
+    )
+    return long(rows, px.overlay_stack(px.filled(10, 9, 50), 10, 9, layers, 8, 8), 10)
