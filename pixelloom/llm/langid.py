@@ -31,9 +31,9 @@ TRAIN_ROWS = 5000
 #: Longest n-gram.
 MAX_N = 4
 #: Words, and n-grams, that the model holds at most, over all languages.
-MODEL_ENTRIES = 120_000
-#: Numbers that a worker's memo of scored chunks holds at most.
-MEMO_CELLS = 2_000_000
+MODEL_ENTRIES = 100_000
+#: Numbers that a task's memo of scored chunks holds at most, and chunks.
+MEMO_CELLS, MEMO_CHUNKS = 2_000_000, 200_000
 
 #: What is predicted for a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -42,8 +42,10 @@ UNDETERMINED = "und"
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]  # log frequency in each language
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]  # rows of word_scores: log frequency in each language
+    word_scores: np.ndarray
+    grams: dict[str, int]
+    gram_scores: np.ndarray
 
 
 class Scorer(dict):
@@ -52,23 +54,23 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.k = model, len(model.languages)
-        self.room = max(1000, MEMO_CELLS // (self.k + 1))
+        self.room = min(MEMO_CHUNKS, max(1000, MEMO_CELLS // (self.k + 1)))
         self.rows = np.zeros((self.room, self.k + 1), np.float32)
         self.more: list[np.ndarray] = []
         self.letters = regex.compile(r"\p{L}+").findall
 
     def word(self, w: str) -> np.ndarray:
         if (got := self.model.words.get(w)) is not None:
-            return got
-        s, i, out = f"^{w}$", 0, np.zeros(self.k, np.float32)
+            return self.model.word_scores[got]
+        s, i, out = f"^{w}$", 0, []
         grams = self.model.grams
         while i < len(s):
             for n in range(min(MAX_N, len(s) - i), 0, -1):
                 if (got := grams.get(s[i : i + n])) is not None:
-                    out += got
+                    out.append(got)
                     break
             i += n
-        return out
+        return self.model.gram_scores[out].sum(0)
 
     def __missing__(self, chunk: str) -> int:
         row = np.zeros(self.k + 1, np.float32)
@@ -109,21 +111,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     parts = words.withColumn("gram", F.concat(F.lit("^"), "gram", F.lit("$"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("gram")))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(MAX_N))))
     grams = parts.where("i + k <= length(gram) + 1").select("lang", F.col("k").alias("kind"), F.expr("substring(gram, i, k)").alias("gram"), "n").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
 
-    def table(rows: DataFrame, keep: int) -> dict[str, np.ndarray]:
-        """gram -> log of its smoothed share among those of its kind, less the mean of all languages."""
+    def table(rows: DataFrame, keep: int) -> tuple[dict[str, int], np.ndarray]:
+        """gram -> row, and rows of the log of its smoothed share among those of its kind, less the mean of all languages."""
         top = rows.withColumn("r", F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= keep)
         sums = {(r.lang, r.kind): r.n for r in rows.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
         counts: dict[tuple[int, str], np.ndarray] = {}
         for r in top.select("lang", "kind", "gram", "n").toLocalIterator():
             counts.setdefault((r.kind, r.gram), np.zeros(len(languages)))[languages.index(r.lang)] = r.n
         size = {kind: np.array([sums.get((x, kind), 0) for x in languages]) + 1.0 for _, kind in sums}
-        out = {}
-        for (kind, gram), c in counts.items():
+        out, scores = {}, np.zeros((len(counts), len(languages)), np.float32)
+        for i, ((kind, gram), c) in enumerate(counts.items()):
             p = np.log((c + 0.5) / (size[kind] + 0.5 * len(counts)))
-            out[gram] = (p - p.mean()).astype(np.float32)
-        return out
+            out[gram], scores[i] = i, p - p.mean()
+        return out, scores
 
-    return Model(languages, table(words.withColumn("kind", F.lit(0)), each), table(grams, max(1, each // MAX_N)))
+    return Model(languages, *table(words.withColumn("kind", F.lit(0)), each), *table(grams, max(1, each // MAX_N)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,8 +41,8 @@ from tokenizers import Tokenizer  # noqa: E402
 SUB_QUEUES = 1024
 #: Groups of rounds for the running count over the whole stream; bounds the one small table that is broadcast.
 ROUND_GROUPS = 4096
-#: Chunks and pieces of text whose ids a worker remembers.
-MEMO_CHUNKS, MEMO_PIECES = 400_000, 200_000
+#: Chunks and pieces of text whose ids a task remembers.
+MEMO_CHUNKS, MEMO_PIECES = 200_000, 100_000
 
 #: The split pattern of word-ended BPE files, for which chunks between white space are encoded one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -99,13 +99,20 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
+    def forget(self) -> None:
+        """Frees what is remembered: workers outlive tasks, and other operators need their memory."""
+        self.clear()
+        self.pieces.clear()
+
+
 _chunks: dict[str, Chunks] = {}
 
 
 def chunks(path: str) -> Chunks:
-    """This worker's memo for a tokenizer file."""
+    """This worker's tokenizer for a file, with an empty memo."""
     if path not in _chunks:
         _chunks[path] = Chunks(path)
+    _chunks[path].forget()
     return _chunks[path]
 
 
@@ -122,6 +129,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
             ids = [c.ids(t.as_py() or "") + end for t in batch.column(3)]
             n = [len(x) // c.kind.itemsize for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["row_key", "id", "source", "n", "ids"])
+        c.forget()
 
     return rows.mapInArrow(run, f"row_key long, id {kind}, source string, n long, ids binary")
 
