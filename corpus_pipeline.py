@@ -33,8 +33,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines; n_chars follows the text."""
-    got = line_dedup.drop_boilerplate(docs, "source", "text")
+    """Drops each source's boilerplate lines by their ratio alone; n_chars follows the text."""
+    got = line_dedup.drop_boilerplate(docs, "source", "text", most_dropped=None)
     return got.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import written
+from pixelloom.llm.common import broadcast_if_small, written
 
 #: Boilerplate lines, over all hosts, that a broadcast may hold (8 bytes each, and their hosts).
 BROADCAST_LINES = 200_000
@@ -29,16 +29,19 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float, mi
     return holding.join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line")
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, most_dropped: float = 0.5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, most_dropped: float | None = 0.5) -> DataFrame:
     """All columns of pages, text_col without its host's boilerplate lines, and n_dropped: how many went.
 
     Lines are compared without blanks at their ends, and count once a page;
     blank lines stay. A line is boilerplate if more than `ratio` of its
     host's pages hold it and at least min_pages do. A page that would lose
     more than most_dropped of its characters is a copy of a page rather than a
-    page with boilerplate: it stays as it is, for document dedup. Null text
-    stays null; null hosts form one host; repeated rows are pages of their
-    own; an empty table gives none. A column n_dropped is replaced.
+    page with boilerplate: it stays as it is, for document dedup. If
+    most_dropped is None, every page loses its boilerplate by the ratio alone;
+    only a page without any other line whose whole text another page of its
+    host repeats is a copy and stays. Null text stays null; null hosts form
+    one host; repeated rows are pages of their own; an empty table gives none.
+    A column n_dropped is replaced.
     """
     found = written(boilerplate(pages, host_col, text_col, ratio, min_pages))
     lists = found.groupBy("host").agg(F.collect_set("line").alias("__lines"))
@@ -50,7 +53,15 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     kept = F.expr(f"filter({split}, x -> trim(x) = '' or not array_contains(__lines, xxhash64(trim(x))))")
     rows = rows.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
     rows = rows.withColumn("__text", F.array_join("__kept", "\n"))
-    take = F.coalesce((F.length("__text") < F.length(text_col)) & (F.length("__text") >= (1 - most_dropped) * F.length(text_col)), F.lit(False))
+    if most_dropped is None:
+        digest = F.when(F.expr("not exists(__kept, x -> trim(x) <> '')"), F.sha2(text_col, 256))
+        rows = rows.withColumn("__digest", digest)
+        copies = written(rows.where("__digest is not null").groupBy("__host", "__digest").agg(F.count("*").alias("n")).where("n > 1").select("__host", "__digest", F.lit(True).alias("__copy")))
+        rows = rows.join(broadcast_if_small(copies, BROADCAST_LINES), ["__host", "__digest"], "left")
+        spared = F.col("__copy").isNotNull()
+    else:
+        spared = F.length("__text") < (1 - most_dropped) * F.length(text_col)
+    take = F.coalesce((F.length("__text") < F.length(text_col)) & ~spared, F.lit(False))
     dropped = F.when(take, F.expr(f"size({split}) - size(__kept)")).otherwise(F.lit(0)).cast("long")
     out = rows.withColumn("n_dropped", dropped).withColumn(text_col, F.when(take, F.col("__text")).otherwise(F.col(text_col)))
     return out.select(*rest.columns, "n_dropped")

@@ -114,6 +114,18 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, d).count() == docs.count()
 
 
+def test_lines_stage_drops_boilerplate_by_the_ratio_alone(spark):
+    """Short pages of mostly shared lines lose them too; only pages without a line of their own that are whole copies stay."""
+    menu, page, note = "menu " * 20, "one page\nof two lines", "all rights reserved"
+    rows = [(i, f"{menu}\nown {i}", "s") for i in range(30)]
+    rows += [(i, page, "s") for i in range(100, 110)] + [(200, note, "s"), (201, f" {menu}\n", "s")]
+    rows += [(i, f"{note}\nown {i}", "s") for i in range(300, 310)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    want = {i: f"own {i}" for i in [*range(30), *range(300, 310)]} | dict.fromkeys(range(100, 110), page) | {200: "", 201: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, None, "en", "s", 0), (4, "other text", None, None, None)]
