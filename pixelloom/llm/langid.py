@@ -31,7 +31,7 @@ TRAIN_ROWS = 5000
 #: Longest n-gram.
 MAX_N = 4
 #: Words, and n-grams, that the model holds at most, over all languages.
-MODEL_ENTRIES = 100_000
+MODEL_ENTRIES = 120_000
 #: Numbers that a task's memo of scored chunks holds at most, and chunks.
 MEMO_CELLS, MEMO_CHUNKS = 2_000_000, 200_000
 
@@ -109,14 +109,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     each = max(1, entries // max(1, len(languages)))
     parts = words.withColumn("gram", F.concat(F.lit("^"), "gram", F.lit("$"))).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("gram")))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(MAX_N))))
-    grams = parts.where("i + k <= length(gram) + 1").select("lang", F.col("k").alias("kind"), F.expr("substring(gram, i, k)").alias("gram"), "n").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    grams = written(parts.where("i + k <= length(gram) + 1").select("lang", F.col("k").alias("kind"), F.expr("substring(gram, i, k)").alias("gram"), "n").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
 
     def table(rows: DataFrame, keep: int) -> tuple[dict[str, int], np.ndarray]:
-        """gram -> row, and rows of the log of its smoothed share among those of its kind, less the mean of all languages."""
+        """gram -> row, and rows of the log of its smoothed share among those of its kind, less the mean of all languages.
+
+        An entry is one of the `keep` most frequent of its kind in some language; its counts are those of every language.
+        """
         top = rows.withColumn("r", F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= keep)
         sums = {(r.lang, r.kind): r.n for r in rows.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
         counts: dict[tuple[int, str], np.ndarray] = {}
-        for r in top.select("lang", "kind", "gram", "n").toLocalIterator():
+        for r in rows.join(top.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi").select("lang", "kind", "gram", "n").toLocalIterator():
             counts.setdefault((r.kind, r.gram), np.zeros(len(languages)))[languages.index(r.lang)] = r.n
         size = {kind: np.array([sums.get((x, kind), 0) for x in languages]) + 1.0 for _, kind in sums}
         out, scores = {}, np.zeros((len(counts), len(languages)), np.float32)

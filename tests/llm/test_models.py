@@ -28,6 +28,18 @@ def test_language_by_words_and_backoff(spark, docs):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_language_counts_are_true_in_every_language(spark):
+    """An entry that one language's list holds has its counts of the other languages too, below their own lists."""
+    seen = {"aa": {"w": 9, "x": 8, "y": 1}, "bb": {"p": 9, "q": 8, "w": 7, "x": 1}}
+    ids = spark.range(50).where("crc32(cast(cast(id as string) as binary)) % 3 <> 1").limit(2).collect()
+    rows = [(i.id, " ".join(" ".join([w] * n) for w, n in c.items()), lang) for i, (lang, c) in zip(ids, seen.items(), strict=True)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), entries=4)
+    assert set(model.words) == {"w", "x", "p", "q"}
+    for w, row in model.words.items():
+        p = [np.log((c.get(w, 0) + 0.5) / (sum(c.values()) + 1 + 0.5 * 4)) for c in seen.values()]
+        assert model.word_scores[row] == pytest.approx(np.array(p) - np.mean(p), abs=1e-5)
+
+
 def test_language_without_labels(spark, docs):
     model = langid.fit(docs.limit(0))
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, model).collect()} == {("und", 0.0)}
