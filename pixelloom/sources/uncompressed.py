@@ -1,4 +1,4 @@
-"""Uncompressed pictures: bit-packed samples in seven layouts to planes, and back.
+"""Uncompressed pictures: bit-packed samples in five interleaves to planes, and back; no block layouts.
 
 Samples are unsigned, of 1 to 16 bits, or byte-aligned of 8 to 64 bits of any
 kind. One numpy pass unpacks a tile; rows of an image are independent, so a
