@@ -20,13 +20,14 @@ becomes sequences whose lengths are powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,84 +37,172 @@ from pixelloom.llm.common import prepare, written
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
+from tokenizers.pre_tokenizers import WhitespaceSplit  # noqa: E402
 
 #: Parts into which each source's queue is dealt by hash for its running count.
 SUB_QUEUES = 1024
 #: Groups of rounds for the running count over the whole stream; bounds the one small table that is broadcast.
 ROUND_GROUPS = 4096
-#: Chunks and pieces of text whose ids a task remembers.
-MEMO_CHUNKS, MEMO_PIECES = 200_000, 100_000
+#: Pieces whose ids a task remembers, and characters of text whose new pieces are encoded at a time.
+MEMO_PIECES, SPAN_CHARS = 200_000, 1 << 22
 
-#: The split pattern of word-ended BPE files, for which chunks between white space are encoded one by one.
+#: The split pattern and word end of word-ended BPE files, for which chunks between white space are encoded one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
+#: Lower-cased Latin-1 letters and numbers, for a split of such texts by the faster standard library.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \n\t\r{_LETTERS}{_NUMBERS}]+").findall
+#: Texts that are composed already, are lower-cased letter by letter, and whose only white space is that of _SPLIT.
+_SIMPLE = re.compile(r"[\n\t\r\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 is itself, the rest follow from U+0100."""
+
+def _byte_letters() -> dict[int, str]:
+    """For str.translate: the letter that stands for each byte in byte-level vocabularies; printable Latin-1 is itself, the rest follow from U+0100. Blanks stay."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return [chr(b if b in plain else next(rest)) for b in range(256)]
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)} | {32: " "}
+
 
+class Pieces(dict):
+    """Ids of texts from a tokenizer file. self[piece] is the row of a piece, which the split pattern can give, in a table of ids.
 
-class Chunks(dict):
-    """Ids of a text, as bytes, from a tokenizer file. self[chunk] are those of a chunk without white space."""
+    An unknown piece gets the next row at once, and its ids at the end of
+    the group of texts: all new pieces are encoded as one text of words, by
+    the tokenizer's model without the normalizing and splitting that they
+    have behind them; their ids part again at the tokens that end a word.
+    The first MEMO_PIECES stay known, others are forgotten after their group.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocab = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
         steps = [(spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         names = [[x["type"] for x in s] for s in steps]
         #: White space parts words, and each word's ids depend on it alone.
-        self.by_words = names == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and steps[1][0]["pattern"] == {"Regex": WORD_PATTERN} and not steps[1][1]["add_prefix_space"]
-        self.split = regex.compile(WORD_PATTERN).findall
-        self.simple = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
-        self.letters, self.pieces = _byte_letters(), {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def piece(self, p: str) -> bytes:
-        if (got := self.pieces.get(p)) is None:
-            word = p if p.isascii() else "".join(self.letters[b] for b in p.encode())
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
-            if len(self.pieces) < MEMO_PIECES:
-                self.pieces[p] = got
-        return got
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk:
-            got = b""
-        elif self.simple(chunk) and "<|" not in chunk:  # Latin-1: composed already, and lower-cased letter by letter
-            got = b"".join(map(self.piece, self.split(chunk.lower())))
-        else:
-            got = self.plain(chunk)
-        if len(self) < MEMO_CHUNKS:
-            self[chunk] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
-        if not self.by_words:
-            return self.plain(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
-
+        self.by_words = names == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and steps[1][0]["pattern"] == {"Regex": WORD_PATTERN} and not steps[1][1]["add_prefix_space"] and spec["model"].get("end_of_word_suffix") == WORD_END
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.letters = _byte_letters()
+        self.forget()
 
     def forget(self) -> None:
         """Frees what is remembered: workers outlive tasks, and other operators need their memory."""
         self.clear()
-        self.pieces.clear()
-
+        self["\n"] = 0  # stands for the end of a text
+        self.store, self.at, self.size = np.array([self.end_id], self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.new: list[str] = []
 
-_chunks: dict[str, Chunks] = {}
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        row = self[piece] = len(self)
+        return row
 
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-def chunks(path: str) -> Chunks:
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text; a chunk between white space that needs the library's own normalization is one piece, marked by a blank."""
+        if not self.by_words:
+            return [" " + text]
+        if _SIMPLE(text) and "<|" not in text:
+            return _SPLIT(text.lower())
+        out: list[str] = []
+        for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if _SIMPLE(chunk) and "<|" not in chunk:
+                out += _SPLIT(chunk.lower())
+            else:
+                out.append(" " + chunk)
+        return out
+
+    def _learn(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table of ids, with the new pieces': ids, and each row's place and number."""
+        if not self.new:
+            return self.store, self.at, self.size
+        marked = np.array([p[0] == " " for p in self.new])
+        words = [p for p in self.new if p[0] != " "]
+        others = [self.plain(p[1:]) for p in self.new if p[0] == " "]
+        line = " ".join(words).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't end each piece with a token of its own")
+        size = np.empty(len(self.new), np.int64)
+        size[~marked] = np.diff(ends, prepend=0)
+        size[marked] = [len(x) for x in others]
+        at = np.empty(len(self.new), np.int64)
+        at[~marked] = ends - size[~marked]
+        at[marked] = len(ids) + np.cumsum(size[marked]) - size[marked]
+        return np.concatenate([self.store, ids.astype(self.kind), *others]), np.concatenate([self.at, at + len(self.store)]), np.concatenate([self.size, size])
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with end_id behind it, and how many each has. Groups of at most about SPAN_CHARS are worked on at a time, so memory for pieces doesn't grow with a text."""
+        flat, counts = [np.empty(0, self.kind)], np.zeros(len(texts), np.int64)
+        codes: list[np.ndarray] = []
+        owner: list[int] = []
+        size, end = 0, np.zeros(1, np.int32)
+
+        def flush() -> None:
+            store, at, number = self._learn()
+            rows = np.concatenate(codes)
+            n = number[rows]
+            upto = np.cumsum(n)
+            flat.append(store[np.repeat(at[rows] - upto + n, n) + np.arange(n.sum())])
+            np.add.at(counts, np.repeat(owner, [len(c) for c in codes]), n)
+            if len(self) > MEMO_PIECES + 1:
+                for p in self.new[max(0, MEMO_PIECES + 1 - len(self.at)) :]:
+                    del self[p]
+                at, number = at[: len(self)], number[: len(self)]
+            if len(at) > len(self.at):
+                upto = np.cumsum(number)
+                self.store, self.at, self.size = store[np.repeat(at - upto + number, number) + np.arange(number.sum())], upto - number, number
+            self.new = []
+            codes.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
+            for span in spans(text) if self.by_words else (text,):
+                p = self.pieces(span)
+                codes.append(np.fromiter(map(self.__getitem__, p), np.int32, len(p)))
+                owner.append(i)
+                size += len(span)
+                if size >= SPAN_CHARS:
+                    flush()
+                    size = 0
+            codes.append(end)
+            owner.append(i)
+        if codes:
+            flush()
+        return np.concatenate(flat), counts
+
+
+def spans(text: str) -> Iterator[str]:
+    """Parts of a text of about SPAN_CHARS characters or fewer, cut before blanks and line ends only."""
+    at = 0
+    while len(text) - at > SPAN_CHARS:
+        cut = _BLANK(text, at + SPAN_CHARS)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+_BLANK = re.compile(r"[ \n\t\r]").search
+_known: dict[tuple[str, int], Pieces] = {}
+
+
+def tokenizer(path: str, end_id: int) -> Pieces:
     """This worker's tokenizer for a file, with an empty memo."""
-    if path not in _chunks:
-        _chunks[path] = Chunks(path)
-    _chunks[path].forget()
-    return _chunks[path]
+    if (path, end_id) not in _known:
+        _known[path, end_id] = Pieces(path, end_id)
+    _known[path, end_id].forget()
+    return _known[path, end_id]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -123,12 +212,12 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = chunks(tokenizer_path)
-        end = np.array([end_id], c.kind).tobytes()
+        c = tokenizer(tokenizer_path, end_id)
         for batch in batches:
-            ids = [c.ids(t.as_py() or "") + end for t in batch.column(3)]
-            n = [len(x) // c.kind.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["row_key", "id", "source", "n", "ids"])
+            ids, n = c.encoded([t or "" for t in batch.column(3).to_pylist()])
+            ends = np.concatenate([[0], np.cumsum(n * c.kind.itemsize)]).astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), lists], ["row_key", "id", "source", "n", "ids"])
         c.forget()
 
     return rows.mapInArrow(run, f"row_key long, id {kind}, source string, n long, ids binary")
@@ -185,7 +274,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
             at += 1 << bit
             tail.append(at)
     kind = rows.schema["id"].dataType.simpleString()
-    width = chunks(tokenizer_path).kind.str
+    width = tokenizer(tokenizer_path, end_id).kind.str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

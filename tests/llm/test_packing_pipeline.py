@@ -15,13 +15,22 @@ from pixelloom.llm import packing
 PATH = P.path("word_bpe_49k.json")
 
 
-def test_chunked_ids_equal_library():
-    t, c, rng = Tokenizer.from_file(PATH), packing.Chunks(PATH), random.Random(1)
+def test_ids_by_pieces_equal_library(monkeypatch):
+    t, c, rng = Tokenizer.from_file(PATH), packing.Pieces(PATH, 1), random.Random(1)
     assert c.by_words
     parts = ["the", "Thhehesh&&&", "don't", "'S", "Straße", "É", "é", "İ", "ﬁ", "日本", "🙂", "a1b22", "<|endoftext|>", " ", "\n", "\t", " ", "\x1c", "\x85", "²", "ǅ", "ﾞ", "´", "­", "\x00", "-"]
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 12)))
-        assert np.frombuffer(c.ids(text), c.kind).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    for size, memo in ((1 << 20, 100_000), (1 << 20, 3), (5, 100), (1, 0)):
+        monkeypatch.setattr(packing, "SPAN_CHARS", size)
+        monkeypatch.setattr(packing, "MEMO_PIECES", memo)
+        c.forget()
+        texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 12))) for _ in range(1500)]
+        for i in range(0, len(texts), 50):
+            own = texts[i : i + 50]
+            ids, n = c.encoded(own)
+            for text, got in zip(own, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [1], repr(text)
+            assert len(c) <= memo + 1 == len(c.at) or len(c) == len(c.at)
+    assert [x.tolist() for x in c.encoded([])] == [[], []] and [x.tolist() for x in c.encoded([""])] == [[1], [1]]
 
 
 def check_pieces(rows, pieces, length):
