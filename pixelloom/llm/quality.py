@@ -7,8 +7,8 @@ one probability. Filters over one-hot bytes are sums of table rows; for
 scoring, the tables of neighbouring bytes are folded into tables of byte
 pairs.
 
-The network is fitted on a bounded sample of labelled rows; scoring covers
-whole texts in one pass without a shuffle.
+The network is fitted on the whole texts of a bounded sample of labelled
+rows; scoring covers whole texts in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import prepare
 from pixelloom.llm.sampling import bounded_ids, held_out
 
-#: Labelled rows that the network is fitted on, at most, and chunks of each, spread over all of its text.
-TRAIN_ROWS, TRAIN_CHUNKS = 3000, 4
+#: Labelled rows that the network is fitted on, at most.
+TRAIN_ROWS = 3000
 #: Bytes of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 1024, 128
 #: Bytes that a filter spans (even), and number of filters.
 WIDTH, FILTERS = 6, 16
 EPOCHS, BATCH, RATE = 6, 32, 0.02
-#: Chunks that are convolved at a time.
-GROUP = 32
+#: Chunks that are convolved at a time in scoring, and in training.
+GROUP, TRAIN_GROUP = 32, 128
 
 
 @dataclass
@@ -94,33 +94,24 @@ class Scoring:
         return (1 / (1 + np.exp(-np.clip(mean @ self.net.weights + self.net.offset, -30, 30)))).tolist()
 
 
-def bag(parts: list[bytes]) -> np.ndarray:
-    """(chunks, CHUNK): the chunks of one document that training looks at."""
-    return np.concatenate([chunked(p) for p in parts])
-
-
-def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
-    """Fits a network by Adam on cross-entropy; without both labels it always answers the only one, or 0.5 without any."""
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
+    """Fits a network on all chunks of the texts by Adam on cross-entropy; without both labels it always answers the only one, or 0.5 without any."""
     r = np.random.default_rng(seed)
     p = {"t": r.normal(0, 0.1, (WIDTH, 256, FILTERS)), "b": np.zeros(FILTERS), "w": r.normal(0, 0.3, FILTERS), "o": np.zeros(1)}
     if len({*labels.tolist()}) < 2:
         known = labels.mean() if len(labels) else 0.5
         return Network(p["t"] * 0, p["b"], p["w"] * 0, float(np.clip(known * 40 - 20, -20, 20)))
     m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    n = CHUNK - WIDTH + 1
     for epoch in range(EPOCHS):
-        order = r.permutation(len(bags))
+        order = r.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
-            c = np.concatenate([bags[j] for j in pick])
-            owner = np.repeat(np.arange(len(pick)), [len(bags[j]) for j in pick])
+            bags = [chunked(texts[j]) for j in pick]
+            c = np.concatenate(bags)
+            owner = np.repeat(np.arange(len(pick)), [len(x) for x in bags])
             size = np.bincount(owner)
-            t32 = p["t"].astype(np.float32)
-            s = t32[0].take(c[:, :n], 0)
-            for k in range(1, WIDTH):
-                s += t32[k].take(c[:, k : k + n], 0)
-            at = s.argmax(1)
-            top = np.take_along_axis(s, at[:, None, :], 1)[:, 0] + p["b"]
+            at, top = strongest(p["t"].astype(np.float32), c)
+            top = top + p["b"]
             f = np.maximum(top, 0)
             mean = np.zeros((len(pick), FILTERS))
             np.add.at(mean, owner, f)
@@ -141,16 +132,37 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
     return Network(p["t"], p["b"], p["w"], float(p["o"][0]))
 
 
+def strongest(tables: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk and filter where its response is highest, and that response; TRAIN_GROUP chunks at a time."""
+    n = CHUNK - WIDTH + 1
+    at, top = np.empty((len(c), FILTERS), np.intp), np.empty((len(c), FILTERS), np.float32)
+    for i in range(0, len(c), TRAIN_GROUP):
+        part = c[i : i + TRAIN_GROUP]
+        s = tables[0].take(part[:, :n], 0)
+        for k in range(1, WIDTH):
+            s += tables[k].take(part[:, k : k + n], 0)
+        at[i : i + TRAIN_GROUP] = s.argmax(1)
+        top[i : i + TRAIN_GROUP] = np.take_along_axis(s, at[i : i + TRAIN_GROUP, None, :], 1)[:, 0]
+    return at, top
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Network:
-    """A network from at most train_rows labelled documents that aren't held out; a document with several labels has their mean, rounded."""
+    """A network from the whole texts of at most train_rows labelled documents that aren't held out.
+
+    A document with several labels has their mean, rounded; of rows that
+    repeat an id the one with the smallest text is taken; null text is empty;
+    no labels give a network that always answers 0.5. The driver reads the
+    sample partition by partition and holds its bytes.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.round(F.avg(label_col)).alias("y"))
     few = F.broadcast(known.join(F.broadcast(bounded_ids(known, id_col, train_rows)), id_col, "left_semi"))
     rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("x")).join(few, id_col)
-    # Of a sampled text no more is sent than the chunks that training looks at.
-    step = F.greatest((F.octet_length("x") - CHUNK) / (TRAIN_CHUNKS - 1), F.lit(0.0))
-    parts = [F.expr(f"substring(cast(x as binary), {i} * cast(floor(step) as int) + 1, {CHUNK})") for i in range(TRAIN_CHUNKS)]
-    got = rows.withColumn("step", step).select(id_col, "y", F.array_distinct(F.array(*parts)).alias("parts")).dropDuplicates([id_col]).orderBy(id_col).collect()
-    return train([bag([bytes(p) for p in r.parts]) for r in got], np.array([r.y for r in got], float))
+    sample = rows.groupBy(id_col).agg(F.min("y").alias("y"), F.min("x").cast("binary").alias("x")).orderBy(id_col)
+    texts, marks = [], []
+    for r in sample.select("y", "x").toLocalIterator():
+        texts.append(bytes(r.x))
+        marks.append(r.y)
+    return train(texts, np.array(marks, float))
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
