@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pixelloom.session import ship
 ARROW_BATCH_BYTES = 8 << 20
 
 _own_dir: str | None = None
+_scratch: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships this package, and bounds Arrow batches by bytes, so rows that hold whole texts or blocks never add up."""
+    """Ships this package, and bounds the session's Arrow batches by bytes (a smaller bound of its own stays), so rows that hold whole texts or blocks never add up."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    if not own.isdigit() or not 0 < int(own) <= ARROW_BATCH_BYTES:
+        spark.conf.set(name, str(ARROW_BATCH_BYTES))
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names. Where it is unset, a local session gets a folder of its own; a cluster has none that all executors share, so it is an error there."""
     global _own_dir
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="pixelloom-")
         base = f"file://{_own_dir}"
-    return f"{base.rstrip('/')}/pixelloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pixelloom-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Deletes all written tables of this process, at its end if the session still runs: results that haven't been read are lost."""
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None:
+        return
+    while _scratch:
+        path = context._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
