@@ -77,7 +77,7 @@ def test_chat_collapses_snapshots_of_a_null_id(spark):
     assert [(r.conv_id, r.n_turns) for r in chat.render(df).collect()] == [(4, 2)]
 
 
-def brute_lines(rows, ratio, least, most):
+def brute_lines(rows, ratio, least, spare=False):
     total, holding = collections.Counter(), collections.Counter()
     for host, text in rows:
         total[host or ""] += 1
@@ -88,7 +88,8 @@ def brute_lines(rows, ratio, least, most):
     for host, text in rows:
         kept = None if text is None else [x for x in text.split("\n") if (host or "", x.strip(" ")) not in bad]
         new = None if text is None else "\n".join(kept)
-        if text is None or len(new) == len(text) or len(new) < (1 - most) * len(text):
+        copy = spare and text is not None and not any(x.strip(" ") for x in kept) and sum(t == text and (h or "") == (host or "") for h, t in rows) > 1
+        if text is None or len(new) == len(text) or copy:
             out.append((host, text, 0))
         else:
             out.append((host, new, len(text.split("\n")) - len(kept)))
@@ -105,9 +106,10 @@ def test_lines_equal_brute_force(spark):
     rows += [("a", None), ("c", "menu"), ("b", "menu\nmenu\n" + "x" * 50_000), ("b", "menu"), ("b", "menu")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "source string, text string, n_dropped int")
     key = lambda r: tuple(str(x) for x in r)
-    got = sorted((tuple(r) for r in line_dedup.drop_boilerplate(df).select("source", "text", "n_dropped").collect()), key=key)
-    assert got == sorted(brute_lines(rows, 0.1, 5, 0.5), key=key)
-    assert any(r[2] for r in got)
+    for options in ({}, {"min_pages": 5}, {"ratio": 0.3}, {"spare_copies": True}, {"min_pages": 5, "spare_copies": True}):
+        got = sorted((tuple(r) for r in line_dedup.drop_boilerplate(df, **options).select("source", "text", "n_dropped").collect()), key=key)
+        assert got == sorted(brute_lines(rows, options.get("ratio", 0.1), options.get("min_pages", 2), options.get("spare_copies", False)), key=key)
+        assert any(r[2] for r in got)
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
