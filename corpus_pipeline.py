@@ -33,8 +33,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines by their ratio alone; n_chars follows the text."""
-    got = line_dedup.drop_boilerplate(docs, "source", "text", most_dropped=None)
+    """Drops each source's boilerplate lines; whole copies stay for the next stage, and n_chars follows the text."""
+    got = line_dedup.drop_boilerplate(docs, "source", "text", min_pages=5, spare_copies=True)
     return got.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("language", keep_language), ("lines", drop_lines), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
-#: Trained models, MinHash and a tokenizer: SQL can't express these stages; tests compare them with brute force.
+#: Trained models, MinHash and a tokenizer: SQL can't express these stages.
 ORACLE_SQL = None
 
 
