@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 
 from pixelloom.llm.common import prepare
 
-#: Characters of a leaf.
-LEAF_CHARS = 16384
+#: Characters, and ids, of a leaf: a few matches.
+LEAF_CHARS = 96
 #: Runs of one class longer than this are joined id by id, shorter ones by re-encoding their text.
 RUN_CHARS = 2048
 #: A position between classes that is a match boundary whatever stands around it.
 CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{White_Space}\p{L}\p{N}])|(?<=')(?=[\p{White_Space}\p{N}])")
+#: A blank after one of these letters is the commonest such position, and is found without the pattern.
+_ASCII = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LETTERS, _NUMBERS, _OTHERS = (regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\p{White_Space}\p{L}\p{N}']+"))
 
 
@@ -56,25 +58,34 @@ class TreeCodec:
         self.encoding = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.leaf, self.run = max(2, leaf_chars), run_chars
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.length_of = {i: len(b) for b, i in ranks.items()}
         self.decimal = {i: b"%d" % i for i in self.bytes_of}
+        self.plain = self.encoding.encode_ordinary
         self._holds: dict[tuple[int, int], bool] = {}
 
     # -- encoding ---------------------------------------------------------
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
+            return self.plain(text)
         mid = len(text) // 2
         left, right = text[:mid], text[mid:]
         return self.join(left, self.encode(left), right, self.encode(right))
 
     def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
         """The ids of left + right from those of both sides."""
-        i, j = self._last_cut(left), self._first_cut(right)
+        i, j = left.rfind(" ", max(0, len(left) - 64)), right.find(" ", 1, 64)
+        if i <= 0 or left[i - 1] not in _ASCII:
+            i = self._last_cut(left)
+        if j <= 0 or right[j - 1] not in _ASCII:
+            j = self._first_cut(right)
         tail, head = left[i:], right[:j]
         keep, drop = len(a) - self._ids_of(reversed(a), len(tail.encode())), self._ids_of(b, len(head.encode()))
         if len(tail) + len(head) > self.run and (seam := self._one_run(left, tail, right, head)):
             return a[: len(a) - self._ids_of(reversed(a), seam)] + self._join_ids(a[len(a) - self._ids_of(reversed(a), seam) :], b[:drop]) + b[drop:]
-        return a[:keep] + self.encoding.encode_ordinary(tail + head) + b[drop:]
+        out = a[:keep]
+        out += self.plain(tail + head)
+        out += b[drop:]
+        return out
 
     def _last_cut(self, text: str) -> int:
         """The last cut of text, sought in a window that doubles; 0 if it has none."""
@@ -99,7 +110,7 @@ class TreeCodec:
         for i in ids:
             if size <= 0:
                 break
-            size -= len(self.bytes_of[i])
+            size -= self.length_of[i]
             n += 1
         return n
 
@@ -142,7 +153,7 @@ class TreeCodec:
     # -- decoding ---------------------------------------------------------
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
-            return self.encoding.decode_bytes(ids)
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 

@@ -28,6 +28,25 @@ def test_long_runs_join_id_by_id():
         assert c.encode(text) == c.encoding.encode_ordinary(text)
 
 
+def test_ordinary_documents_come_through_joins(spark):
+    """Every text of more than a leaf is halved down to leaves and joined on the way up, and so are its ids in decoding."""
+    c, n = TreeCodec(RANKS, P.PATTERN), {"join": 0, "leaf": 0}
+    join, plain = c.join, c.plain
+
+    def counted(*args):
+        n["join"] += 1
+        return join(*args)
+
+    c.join = counted
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for t in texts:
+        n["join"] = 0
+        ids = c.encode(t)
+        leaves = lambda k: 1 if k <= c.leaf else leaves(k // 2) + leaves(k - k // 2)  # noqa: E731, B023
+        assert n["join"] == leaves(len(t)) - 1 and ids == plain(t) and c.decode(ids) == t.encode()
+    assert sum(len(t) > c.leaf for t in texts) > 0.9 * len(texts)
+
+
 def test_every_token_is_reachable():
     c = TreeCodec(RANKS, P.PATTERN)
     assert all(c._bpe(b) == [i] for b, i in RANKS.items())
