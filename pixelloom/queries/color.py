@@ -11,7 +11,7 @@ from pixelloom.plans.color_planner import STEPS, State, plan
 from pixelloom.queries.planes import P, images
 from pixelloom.queries.registry import query
 
-_THREE = f"WITH {P}, t AS (SELECT a.vec_id, a.x, a.y, a.v AS p, b.v AS q, 255 - a.v AS r FROM p AS a JOIN p AS b ON b.vec_id = a.vec_id AND b.x = 7 - a.x AND b.y = a.y) "
+_THREE = f"WITH {P}, t AS (SELECT vec_id, x, y, v AS p, l[y * 8 + 8 - x] AS q, 255 - v AS r FROM p) "
 _CLIP = "CAST(greatest(0, least(255, floor({} + 0.5))) AS INTEGER)"
 
 

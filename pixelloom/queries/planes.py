@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from pixelloom.operators import planes as px
 from pixelloom.queries.registry import query, table
 
-#: The planes in long form, for oracles.
-P = """p AS (SELECT vec_id, label, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y,
- CAST(greatest(0, least(255, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 224) AS BIGINT) + 128)) AS INTEGER) AS v
- FROM embeddings, (SELECT unnest(range(64)) AS i))"""
+#: The planes as lists l, and in long form, for oracles. A pixel of a plane is l[y * 8 + x + 1], so oracles need no join of pixels.
+P = """e AS (SELECT vec_id, label, list_transform(embedding, lambda u: CAST(greatest(0, least(255, CAST(floor(CAST(u AS DOUBLE) * 224) AS BIGINT) + 128)) AS INTEGER)) AS l FROM embeddings),
+ p AS (SELECT vec_id, label, l, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, l[i + 1] AS v FROM (SELECT *, unnest(range(64)) AS i FROM e))"""
 
 
 def quantised(embedding: str = "embedding") -> Column:
@@ -80,18 +79,19 @@ unary(
     "plane_bilinear_420",
     15,
     lambda v: px.bilinear_420(v, 15, 16),
-    """, g AS (SELECT CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, gx // 2 AS nx, gy // 2 AS ny, greatest(0, least(7, gx // 2 + CASE WHEN gx % 2 = 1 THEN 1 ELSE -1 END)) AS ox,
-       greatest(0, least(7, gy // 2 + CASE WHEN gy % 2 = 1 THEN 1 ELSE -1 END)) AS oy FROM (SELECT unnest(range(15)) AS gx), (SELECT unnest(range(16)) AS gy))
-    SELECT a.vec_id, gx AS x, gy AS y, CAST(CASE WHEN ox = nx AND oy = ny THEN a.v WHEN oy = ny THEN (3 * a.v + b.v + 2) // 4 WHEN ox = nx THEN (3 * a.v + c.v + 2) // 4
-       ELSE (9 * a.v + 3 * b.v + 3 * c.v + d.v + 8) // 16 END AS INTEGER) AS v
-    FROM g JOIN p AS a ON a.x = nx AND a.y = ny JOIN p AS b ON b.vec_id = a.vec_id AND b.x = ox AND b.y = ny JOIN p AS c ON c.vec_id = a.vec_id AND c.x = nx AND c.y = oy JOIN p AS d ON d.vec_id = a.vec_id AND d.x = ox AND d.y = oy""",
+    """, g AS (SELECT vec_id, l, CAST(k % 15 AS INTEGER) AS gx, CAST(k // 15 AS INTEGER) AS gy FROM (SELECT *, unnest(range(240)) AS k FROM e)),
+    n AS (SELECT *, gx // 2 AS nx, gy // 2 AS ny, greatest(0, least(7, gx // 2 + CASE WHEN gx % 2 = 1 THEN 1 ELSE -1 END)) AS ox, greatest(0, least(7, gy // 2 + CASE WHEN gy % 2 = 1 THEN 1 ELSE -1 END)) AS oy FROM g),
+    f AS (SELECT *, l[ny * 8 + nx + 1] AS a, l[ny * 8 + ox + 1] AS b, l[oy * 8 + nx + 1] AS c, l[oy * 8 + ox + 1] AS d FROM n)
+    SELECT vec_id, gx AS x, gy AS y, CAST(CASE WHEN ox = nx AND oy = ny THEN a WHEN oy = ny THEN (3 * a + b + 2) // 4 WHEN ox = nx THEN (3 * a + c + 2) // 4
+       ELSE (9 * a + 3 * b + 3 * c + d + 8) // 16 END AS INTEGER) AS v FROM f""",
 )
 unary(
     "plane_bilinear_422",
     16,
     lambda v: px.bilinear_422(v, 16, 8),
-    """, g AS (SELECT CAST(gx AS INTEGER) AS gx, gx // 2 AS nx, greatest(0, least(7, gx // 2 + CASE WHEN gx % 2 = 1 THEN 1 ELSE -1 END)) AS ox FROM (SELECT unnest(range(16)) AS gx))
-    SELECT a.vec_id, gx AS x, a.y, CAST(CASE WHEN ox = nx THEN a.v ELSE (3 * a.v + b.v + 2) // 4 END AS INTEGER) AS v FROM g JOIN p AS a ON a.x = nx JOIN p AS b ON b.vec_id = a.vec_id AND b.x = ox AND b.y = a.y""",
+    """, g AS (SELECT vec_id, l, CAST(k % 16 AS INTEGER) AS gx, CAST(k // 16 AS INTEGER) AS gy FROM (SELECT *, unnest(range(128)) AS k FROM e)),
+    f AS (SELECT *, gx // 2 AS nx, greatest(0, least(7, gx // 2 + CASE WHEN gx % 2 = 1 THEN 1 ELSE -1 END)) AS ox FROM g)
+    SELECT vec_id, gx AS x, gy AS y, CAST(CASE WHEN ox = nx THEN l[gy * 8 + nx + 1] ELSE (3 * l[gy * 8 + nx + 1] + l[gy * 8 + ox + 1] + 2) // 4 END AS INTEGER) AS v FROM f""",
 )
 unary("plane_bitdepth_up", 8, lambda v: px.deeper(v, 8, 10), "SELECT vec_id, x, y, CAST((v << 2) | (v >> 6) AS INTEGER) AS v FROM p")
 unary("plane_bitdepth_down", 8, lambda v: px.to_8_bits(F.transform(v, lambda x: x * 4 + 3), 10), "SELECT vec_id, x, y, CAST((v * 4 + 3) >> 2 AS INTEGER) AS v FROM p")
@@ -170,9 +170,9 @@ def plane_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "plane_overlay_stack",
-    f"""WITH {P}, g AS (SELECT vec_id, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy FROM embeddings, (SELECT unnest(range(10)) AS gx), (SELECT unnest(range(9)) AS gy)),
-    l AS (SELECT g.*, coalesce(a.v, 50) AS c, b.v AS s FROM g LEFT JOIN p AS a ON a.vec_id = g.vec_id AND a.x = gx - 1 AND a.y = gy - 1 LEFT JOIN p AS b ON b.vec_id = g.vec_id AND b.x = 7 - (gx + 2) AND b.y = gy - 3)
-    SELECT vec_id, gx AS x, gy AS y, CAST(CASE WHEN s IS NULL THEN c ELSE (s * (255 - s) + c * (255 - (255 - s))) // 255 END AS INTEGER) AS v FROM l""",
+    f"""WITH {P}, g AS (SELECT vec_id, l, CAST(k % 10 AS INTEGER) AS gx, CAST(k // 10 AS INTEGER) AS gy FROM (SELECT *, unnest(range(90)) AS k FROM e)),
+    f AS (SELECT *, CASE WHEN gx BETWEEN 1 AND 8 AND gy BETWEEN 1 AND 8 THEN l[(gy - 1) * 8 + gx] ELSE 50 END AS c, CASE WHEN gx <= 5 AND gy BETWEEN 3 AND 10 THEN l[(gy - 3) * 8 + 6 - gx] END AS s FROM g)
+    SELECT vec_id, gx AS x, gy AS y, CAST(CASE WHEN s IS NULL THEN c ELSE (s * (255 - s) + c * (255 - (255 - s))) // 255 END AS INTEGER) AS v FROM f""",
 )
 def plane_overlay_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An opaque layer and a mirrored one with alpha on a canvas of 10 x 9."""
