@@ -171,8 +171,8 @@ def seq_paired_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     "seq_chunk_places",
     """WITH c AS (SELECT l_returnflag AS file, l_orderkey % 50 AS chunk, l_linenumber AS track, l_orderkey, CAST(l_quantity AS BIGINT) AS size, l_orderkey * 10000000000 + l_partkey * 10000 + l_suppkey AS ord FROM lineitem),
     b AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY file ORDER BY chunk, track ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT file, chunk, track, sum(size) AS bytes FROM c GROUP BY ALL))
-    SELECT file, chunk, track, l_orderkey, ord, CAST(8 + start + sum(size) OVER (PARTITION BY file, chunk, track ORDER BY ord ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS offset FROM c JOIN b USING (file, chunk, track)""",
+    SELECT file, chunk, track, l_orderkey, ord, CAST(8 + start + sum(size) OVER (PARTITION BY file, chunk, track ORDER BY ord, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS offset FROM c JOIN b USING (file, chunk, track)""",
 )
 def seq_chunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), (F.col("l_orderkey") % 50).alias("chunk"), F.col("l_linenumber").alias("track"), "l_orderkey", F.col("l_quantity").cast("long").alias("size"), (F.col("l_orderkey") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ord"))
-    return chunk_places(c, "file", "track", "chunk", "ord", "size", 8).select("file", "chunk", "track", "l_orderkey", "ord", "offset")
+    return chunk_places(c, "file", "track", "chunk", ["ord", "size"], "size", 8).select("file", "chunk", "track", "l_orderkey", "ord", "offset")

@@ -451,10 +451,14 @@ def containers(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "path string, content binary")
 
 
-def chunk_places(samples: DataFrame, file: str, track: str, chunk: str, order: str, size: str, start: int = 0) -> DataFrame:
-    """samples with offset: where each lies in its file if tracks' chunks are written one after another, by chunk and then track."""
+def chunk_places(samples: DataFrame, file: str, track: str, chunk: str, order: list[str], size: str, start: int = 0) -> DataFrame:
+    """samples with offset: where each lies in its file if tracks' chunks are written one after another, by chunk and then track.
+
+    Samples of a chunk lie in the order of the columns `order`; those equal in
+    all of them may swap places, so `order` should end with size or a key.
+    """
     by = W.partitionBy(file).orderBy(chunk, track).rowsBetween(W.unboundedPreceding, -1)
     sums = samples.groupBy(file, chunk, track).agg(F.sum(size).alias("__bytes"))
     begin = sums.withColumn("__begin", F.coalesce(F.sum("__bytes").over(by), F.lit(0)) + start)
-    inside = F.coalesce(F.sum(size).over(W.partitionBy(file, chunk, track).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(size).over(W.partitionBy(file, chunk, track).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return samples.withColumn("__in", inside).join(begin.drop("__bytes"), [file, chunk, track]).withColumn("offset", (F.col("__begin") + F.col("__in")).cast("long")).drop("__in", "__begin")
