@@ -7,15 +7,16 @@ Order that matters in a file is a column, never a row order.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelloom.session import ship
+
 # Property and reference types with a meaning.
 TRANSFORMATIVE = ("imir", "irot", "clap")
 DERIVED, THUMBNAIL, AUXILIARY, DESCRIBES = "dimg", "thmb", "auxl", "cdsc"
-#: Links that a walk over derivations follows at most: the limit on items in a file.
-MAX_DEPTH = 1000
 
 
 def properties_in_order(links: DataFrame, properties: DataFrame, item: str, prop: str, order: str) -> DataFrame:
@@ -114,41 +115,89 @@ def thumbnail_size(w: Column, h: Column, box: int) -> tuple[Column, Column]:
     return even(tw), even(th)
 
 
-def reachable(edges: DataFrame, source: str, target: str, position: str | None = None, depth: int = MAX_DEPTH) -> DataFrame:
-    """(start, node, depth, cycle): walks from every source along edges; a walk that meets its own path ends there with cycle = true.
+def walks(edges: DataFrame, file: str, source: str, target: str, position: str | None = None, flagged: DataFrame | None = None, node: str | None = None) -> DataFrame:
+    """(file, start, cyclic, coded, flag): what walks from each source of each file come to, in time linear in the file's edges.
 
-    With position, only each source's first edge is followed.
+    cyclic says whether some walk meets itself; coded is where following first
+    edges ends (by position, then target; by target without one), null in a
+    cycle; flag, whether the source or anything that it leads to is in flagged
+    (file, node). A file's items are limited in number, so each file is one
+    group of one task, and no path is enumerated. Edges may repeat; null ends
+    are left out; a file without edges gives no rows.
     """
     spark = edges.sparkSession
-    if position is not None:
-        edges = edges.withColumn("__r", F.row_number().over(W.partitionBy(source).orderBy(position, target))).where("__r = 1")
-    edges = edges.select(F.col(source).cast("long").alias("a"), F.col(target).cast("long").alias("b")).distinct()
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk (start, node, depth, path, cycle) MAX RECURSION LEVEL {depth} AS (
-          SELECT a, b, 1, array(a, b), a = b FROM {{edges}}
-          UNION ALL
-          SELECT w.start, e.b, w.depth + 1, array_append(w.path, e.b), array_contains(w.path, e.b)
-          FROM walk AS w JOIN {{edges}} AS e ON e.a = w.node WHERE NOT w.cycle)
-        SELECT start, node, depth, cycle FROM walk""",
-        edges=edges,
-    )
-
-
-def cyclic(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(start, cyclic): whether a walk from the source meets itself."""
-    return reachable(edges, source, target).groupBy("start").agg(F.bool_or("cycle").alias("cyclic"))
-
-
-def first_coded(edges: DataFrame, source: str, target: str, position: str) -> DataFrame:
-    """(start, node): where following first references from each source ends; null in a cycle."""
-    walk = reachable(edges, source, target, position)
-    return walk.groupBy("start").agg(F.max(F.struct("depth", "node", "cycle")).alias("end")).select("start", F.when(~F.col("end.cycle"), F.col("end.node")).alias("node"))
-
-
-def has_flag(edges: DataFrame, flagged: DataFrame, source: str, target: str, node: str) -> DataFrame:
-    """(start, flag): whether the source or anything that it is derived from is flagged (an alpha plane, say)."""
-    marks = flagged.select(F.col(node).cast("long").alias("node"), F.lit(True).alias("__m")).distinct()
-    own = edges.select(F.col(source).cast("long").alias("start"), F.col(source).cast("long").alias("node")).distinct()
-    walk = reachable(edges, source, target).select("start", "node").union(own)
-    return walk.join(marks, "node", "left").groupBy("start").agg(F.bool_or(F.coalesce("__m", F.lit(False))).alias("flag"))
+    ship(spark)
+    place = F.col(position).cast("long") if position is not None else F.lit(0).cast("long")
+    e = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(file).alias("file"), F.col(source).cast("long").alias("a"), F.col(target).cast("long").alias("b"), place.alias("at"))
+    if flagged is not None:
+        e = e.unionByName(flagged.where(F.col(node).isNotNull()).select(F.col(file).alias("file"), F.col(node).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("at")))
+    kind = e.schema["file"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = _walk(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("at").to_pylist())
+        name = t.schema.field("file").type
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.table({"file": pa.array([t.column("file")[0].as_py()] * len(rows), name), "start": pa.array(cols[0], pa.int64()), "cyclic": pa.array(cols[1], pa.bool_()), "coded": pa.array(cols[2], pa.int64()), "flag": pa.array(cols[3], pa.bool_())})
+
+    return e.groupBy("file").applyInArrow(run, f"file {kind}, start long, cyclic boolean, coded long, flag boolean").withColumnRenamed("file", file)
+
+
+def _walk(a: list[int], b: list[int | None], at: list[int | None]) -> list[tuple]:
+    """(start, cyclic, coded, flag) of one file's edges; an edge to None flags its source."""
+    out: dict[int, set[int]] = {}
+    into: dict[int, set[int]] = {}
+    first: dict[int, tuple] = {}
+    marked: set[int] = set()
+    for x, y, p in zip(a, b, at, strict=True):
+        if y is None:
+            marked.add(x)
+            continue
+        out.setdefault(x, set()).add(y)
+        into.setdefault(y, set()).add(x)
+        key = (p is not None, p or 0, y)  # null positions come first, as in an ascending sort
+        first[x] = min(first.get(x, key), key)
+
+    def upstream(todo: list[int], enough) -> set[int]:
+        seen = set(todo)
+        while todo:
+            for x in into.get(todo.pop(), ()):
+                if x not in seen and enough(x):
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    left = {x: len(y) for x, y in out.items()}
+
+    def ends(x: int) -> bool:
+        left[x] -= 1
+        return not left[x]
+
+    acyclic = upstream([y for y in into if y not in out], ends)
+    flagged = upstream(list(marked), lambda x: True)
+    coded: dict[int, int | None] = {}
+    for x in out:
+        path = []
+        on = set()
+        while x in first and x not in coded and x not in on:
+            on.add(x)
+            path.append(x)
+            x = first[x][2]
+        end = None if x in on else coded.get(x, None) if x in coded else x
+        for y in path:
+            coded[y] = end
+    return [(x, x not in acyclic, coded[x], x in flagged) for x in out]
+
+
+def cyclic(edges: DataFrame, file: str, source: str, target: str) -> DataFrame:
+    """(file, start, cyclic): whether a walk from the source meets itself."""
+    return walks(edges, file, source, target).select(file, "start", "cyclic")
+
+
+def first_coded(edges: DataFrame, file: str, source: str, target: str, position: str) -> DataFrame:
+    """(file, start, node): where following first references from each source ends; null in a cycle."""
+    return walks(edges, file, source, target, position).select(file, "start", F.col("coded").alias("node"))
+
+
+def has_flag(edges: DataFrame, flagged: DataFrame, file: str, source: str, target: str, node: str) -> DataFrame:
+    """(file, start, flag): whether the source or anything that it is derived from is flagged (an alpha plane, say)."""
+    return walks(edges, file, source, target, None, flagged, node).select(file, "start", "flag")

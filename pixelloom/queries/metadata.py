@@ -136,35 +136,34 @@ def thumbnail_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", w.alias("tw"), h.alias("th"))
 
 
-#: Derivations: nations come from regions (ids from 1000), and a chain of suppliers ends in a loop for every tenth.
+#: Derivations: a file's nations come from its region (ids from 1000); of each twenty suppliers, a file, one in the middle of a chain may point ahead and close a loop.
 _EDGES = """
-edges AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey + 1000 AS BIGINT) AS b FROM nation
- UNION ALL SELECT s_suppkey + 5000, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey + 5009 ELSE s_suppkey + 4999 END FROM supplier WHERE s_suppkey <= 90)"""
+edges AS (SELECT n_regionkey - 100 AS file, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey + 1000 AS BIGINT) AS b FROM nation
+ UNION ALL SELECT CAST(s_suppkey // 20 AS BIGINT), s_suppkey + 5000, CASE WHEN s_suppkey % 60 = 7 THEN s_suppkey + 5005 ELSE s_suppkey + 4999 END FROM supplier WHERE s_suppkey % 20 <> 0)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    chain = table(spark, sf_dir, "supplier").where("s_suppkey <= 90").select((k + 5000).alias("a"), F.when((k % 10 == 0) & (k % 20 == 0), k + 5009).otherwise(k + 4999).alias("b"))
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 1000).cast("long").alias("b"))
+    chain = table(spark, sf_dir, "supplier").where("s_suppkey % 20 <> 0").select(F.floor(k / 20).alias("file"), (k + 5000).alias("a"), F.when(k % 60 == 7, k + 5005).otherwise(k + 4999).alias("b"))
+    nations = table(spark, sf_dir, "nation").select((F.col("n_regionkey") - 100).cast("long").alias("file"), F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 1000).cast("long").alias("b"))
     return nations.union(chain)
 
 
-_EDGES = _EDGES.replace("s_suppkey % 10 = 0 THEN", "s_suppkey % 20 = 0 THEN")
-_WALK = f"WITH RECURSIVE {_EDGES}, w AS (SELECT a AS start, b AS node, 1 AS depth, [a, b] AS path, a = b AS cycle FROM edges UNION ALL SELECT w.start, e.b, w.depth + 1, list_append(w.path, e.b), list_contains(w.path, e.b) FROM w JOIN edges AS e ON e.a = w.node WHERE NOT w.cycle) "
+_WALK = f"WITH RECURSIVE {_EDGES}, w AS (SELECT file, a AS start, b AS node, 1 AS depth, [a, b] AS path, a = b AS cycle FROM edges UNION ALL SELECT w.file, w.start, e.b, w.depth + 1, list_append(w.path, e.b), list_contains(w.path, e.b) FROM w JOIN edges AS e ON e.file = w.file AND e.a = w.node WHERE NOT w.cycle) "
 
 
-@query("graph_cycle_check", _WALK + "SELECT start, bool_or(cycle) AS cyclic FROM w GROUP BY start")
+@query("graph_cycle_check", _WALK + "SELECT file, start, bool_or(cycle) AS cyclic FROM w GROUP BY file, start")
 def graph_cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meta.cyclic(edges(spark, sf_dir), "a", "b")
+    return meta.cyclic(edges(spark, sf_dir), "file", "a", "b")
 
 
-@query("graph_first_coded", _WALK + "SELECT start, CASE WHEN NOT max_by(cycle, depth) THEN max_by(node, depth) END AS node FROM w GROUP BY start")
+@query("graph_first_coded", _WALK + "SELECT file, start, CASE WHEN NOT max_by(cycle, depth) THEN max_by(node, depth) END AS node FROM w GROUP BY file, start")
 def graph_first_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meta.first_coded(edges(spark, sf_dir), "a", "b", "b")
+    return meta.first_coded(edges(spark, sf_dir), "file", "a", "b", "b")
 
 
-@query("graph_any_alpha", _WALK + "SELECT start, bool_or(node % 3 = 0) OR start % 3 = 0 AS flag FROM w GROUP BY start")
+@query("graph_any_alpha", _WALK + "SELECT file, start, bool_or(node % 13 = 0) OR start % 13 = 0 AS flag FROM w GROUP BY file, start")
 def graph_any_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    nodes = e.select("a").union(e.select("b")).where("a % 3 = 0")
-    return meta.has_flag(e, nodes, "a", "b", "a")
+    nodes = e.select("file", "a").union(e.select("file", "b")).where("a % 13 = 0")
+    return meta.has_flag(e, nodes, "file", "a", "b", "a")

@@ -55,9 +55,19 @@ def test_rescale_saturates_and_handles_zero(spark):
 
 
 def test_walks_stop_in_cycles(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (8, 8)], "a long, b long")
-    assert {r.start: r.cyclic for r in meta.cyclic(e, "a", "b").collect()} == {1: True, 2: True, 3: True, 5: False, 8: True}
-    assert {r.start: r.node for r in meta.first_coded(e, "a", "b", "b").collect()} == {1: None, 2: None, 3: None, 5: 6, 8: None}
+    e = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 3, 1), ("f", 5, 6), ("f", 8, 8), ("g", 1, 2), ("g", 2, 3), ("g", 2, 3), ("g", 4, None), ("f", 9, 5), ("f", 9, 1)], "file string, a long, b long")
+    assert {(r.file, r.start): r.cyclic for r in meta.cyclic(e, "file", "a", "b").collect()} == {("f", 1): True, ("f", 2): True, ("f", 3): True, ("f", 5): False, ("f", 8): True, ("g", 1): False, ("g", 2): False, ("f", 9): True}
+    assert {(r.file, r.start): r.node for r in meta.first_coded(e, "file", "a", "b", "b").collect()} == {("f", 1): None, ("f", 2): None, ("f", 3): None, ("f", 5): 6, ("f", 8): None, ("g", 1): 3, ("g", 2): 3, ("f", 9): None}
+    marks = spark.createDataFrame([("g", 3), ("f", 6), ("g", 8)], "file string, n long")
+    assert {(r.file, r.start) for r in meta.has_flag(e, marks, "file", "a", "b", "n").collect() if r.flag} == {("g", 1), ("g", 2), ("f", 5), ("f", 9)}
+    assert meta.cyclic(e.limit(0), "file", "a", "b").count() == 0
+
+
+def test_walks_through_many_diamonds_are_linear():
+    n = 2000
+    a, b = zip(*[(i, j) for k in range(0, 3 * n, 3) for i, j in ((k, k + 1), (k, k + 2), (k + 1, k + 3), (k + 2, k + 3))], strict=True)
+    got = {x: (c, e, f) for x, c, e, f in meta._walk([*a, 3 * n], [*b, None], [0] * (len(a) + 1))}
+    assert got[0] == (False, 3 * n, True) and not any(c for c, _, _ in got.values())
 
 
 def test_stream_of_samples_keeps_time_over_batches(spark, tmp_path):
