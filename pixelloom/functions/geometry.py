@@ -15,7 +15,8 @@ def fraction(num: Column, den: Column) -> Column:
 
     def reduced(f: Column) -> Column:
         sign = F.when(f["den"] < 0, -1).otherwise(1)
-        return let(gcd(F.abs(f["num"]), F.abs(f["den"])), lambda g: F.when(f["den"] != 0, F.struct((sign * _quotient(f["num"], g)).alias("num"), _quotient(F.abs(f["den"]), g).alias("den"))))
+        divisor = F.when(F.abs(f["den"]) == 1, F.lit(1).cast("long")).otherwise(gcd(F.abs(f["num"]), F.abs(f["den"])))
+        return let(divisor, lambda g: F.when(f["den"] != 0, F.struct((sign * _quotient(f["num"], g)).alias("num"), _quotient(F.abs(f["den"]), g).alias("den"))))
 
     return let(F.struct(num.cast("long").alias("num"), den.cast("long").alias("den")), reduced)
 
@@ -31,10 +32,11 @@ def _quotient(a: Column, b: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Of non-negative numbers, by 96 steps of the Euclidean algorithm: enough for 64 bits."""
+    """Of non-negative numbers, by the Euclidean algorithm: it ends after log2(smaller number) / log2(golden ratio) + 2 steps, and one that swaps."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(96)), start, step, lambda s: s["a"])
+    steps = F.ceil(F.log2(F.least(a, b).cast("double") + 1) * 1.4405).cast("int") + 3
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
 
 
 def add(p: Column, q: Column) -> Column:

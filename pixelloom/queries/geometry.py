@@ -40,12 +40,12 @@ def clean_aperture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fraction_sum",
-    "SELECT p_partkey, CAST(n // gcd(abs(n), d) AS BIGINT) AS num, CAST(d // gcd(abs(n), d) AS BIGINT) AS den FROM (SELECT p_partkey, CAST(p_partkey % 97 * (p_size + 6) - 5 * (p_size + 4) AS BIGINT) AS n, CAST((p_size + 4) * (p_size + 6) AS BIGINT) AS d FROM part) WHERE n >= 0",
+    "SELECT p_partkey, CAST(n // gcd(abs(n), d) AS BIGINT) AS num, CAST(d // gcd(abs(n), d) AS BIGINT) AS den FROM (SELECT p_partkey, CAST(p_partkey % 97 * (p_size + 6) - 5 * (p_size + 4) AS BIGINT) AS n, CAST((p_size + 4) * (p_size + 6) AS BIGINT) AS d FROM part)",
 )
 def fraction_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     out = geo.subtract(geo.fraction(k % 97, s + 4), geo.fraction(F.lit(5), s + 6))
-    return table(spark, sf_dir, "part").select("p_partkey", out.alias("f")).select("p_partkey", "f.num", "f.den").where("num >= 0")
+    return table(spark, sf_dir, "part").select("p_partkey", out.alias("f")).select("p_partkey", "f.num", "f.den")
 
 
 @query(
