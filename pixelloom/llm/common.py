@@ -68,3 +68,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if df (a written table) has at most max_rows rows; else Spark's own choice of join."""
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df.hint("merge")
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+    """rows with the columns of found (a written table, one row a key), null where it has none. Beyond max_rows of found it is a shuffle, from which rows with a null key stay out: they would be one task's."""
+    if found.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(found), keys, "left")
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    new = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name not in keys]
+    return rows.where(some).join(found.hint("merge"), keys, "left").unionByName(rows.where(~some).select("*", *new))
+
+
+def block_pairs(blocks: DataFrame, keys: list[str], column: str, parts: str, same: bool) -> DataFrame:
+    """blocks (keys, parts, block, column) -> (keys, p, q): the column of every two blocks of a key, and with `same` of each block with itself.
+
+    A key of n blocks is dealt into a grid of about n cells, each with the
+    pairs of sqrt(n) blocks with sqrt(n) others, so a key with most of all
+    blocks is spread out, at sqrt(n) copies of a block.
+    """
+    g = F.expr(f"cast(ceil(sqrt({parts})) as long)")
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), g - 1))
+    one = blocks.select(*keys, F.col("block").alias("i"), F.col(column).alias("p"), F.expr("pmod(block, ceil(sqrt(%s)))" % parts).alias("row"), cells.alias("col"))
+    two = blocks.select(*keys, F.col("block").alias("j"), F.col(column).alias("q"), F.expr("pmod(block, ceil(sqrt(%s)))" % parts).alias("col"), cells.alias("row"))
+    return one.join(two.hint("merge"), [*keys, "row", "col"]).where("i <= j" if same else "i < j").select(*keys, "p", "q")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare, broadcast_if_small, written
+from pixelloom.llm.common import block_pairs, broadcast_if_small, looked_up, prepare, written
 from pixelloom.llm.components import components
 
 #: At a cosine of 0.98 and 64 dimensions, four probes of two hashes meet with probability 0.98 in one table, and miss each other in all with 1.3e-7.
@@ -33,6 +33,10 @@ TABLES, HASHES, PROBES = 4, 2, 4
 BLOCK = 512
 #: Buckets of more than one block that a broadcast may list (about 60 bytes each); beyond, the join shuffles.
 LARGE_BUCKETS = 100_000
+#: Classes with links or copies that a broadcast may list (32 bytes each).
+LINKED_CLASSES = 500_000
+#: Least threshold for which the tables' numbers hold what they are documented to find.
+LEAST_THRESHOLD = 0.98
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -86,13 +90,13 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, key) of all rows, key null for those that link with nothing; and one row (id, label, vec, dim, weight) for each class."""
+    """(id, k1, k2) of all rows, keys null for those that link with nothing; and one row (k1, k2, rep, label, v, weight) for each class of equal vectors, by 128 bits of hashes."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     sound = F.expr("coalesce(label is not null and id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0), false)")
-    rows = rows.withColumn("v", F.expr("transform(v, x -> x + 0.0D)")).withColumn("key", F.when(sound, F.sha2(F.concat_ws("\x1f", "label", F.expr("array_join(transform(v, x -> cast(x as string)), ',')")), 256)))
-    groups = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min("label").alias("label"), F.first("v").alias("v"))
-    return rows.select("id", "key"), groups
+    rows = rows.withColumn("v", F.expr("transform(v, x -> x + 0.0D)")).withColumn("k1", F.when(sound, F.xxhash64("label", "v"))).withColumn("k2", F.when(sound, F.xxhash64(F.lit("second"), "v", "label")))
+    groups = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.min("label").alias("label"), F.first("v").alias("v"))
+    return rows.select("id", "k1", "k2"), groups
 
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
@@ -103,12 +107,15 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     non-finite components have no links and are their own component; vectors
     of different lengths never link. Rows that repeat an id count as vectors
     of their own; a null id has no links, no component and is kept. Other
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows. A threshold below
+    LEAST_THRESHOLD needs tables, hashes and probes of its own.
     """
+    if threshold < LEAST_THRESHOLD and (tables, hashes, probes) == (TABLES, HASHES, PROBES):
+        raise ValueError(f"the default tables find pairs from a cosine of {LEAST_THRESHOLD} on; a threshold of {threshold} needs more")
     spark = vectors.sparkSession
     prepare(spark)
     rows, groups = _classes(vectors, id_col, vector_col, label_col)
-    classes = written(groups)
+    classes = written(groups.withColumn("id", F.monotonically_increasing_id()))
     hashers: dict[int, Hasher] = {}
     #: Single precision is kept as such on its way, and widened for every product.
     kind = np.dtype("f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8")
@@ -145,8 +152,7 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     )
     one = blocks.select("code", F.col("m").alias("p"), F.lit(None).cast(blocks.schema["m"].dataType).alias("q"))
     many = blocks.where("parts > 1")
-    two = many.alias("p").join(many.alias("q").hint("merge"), F.expr("p.label = q.label and p.dim = q.dim and p.code = q.code and p.block < q.block"))
-    two = one.unionAll(two.select(F.col("p.code").alias("code"), F.col("p.m").alias("p"), F.col("q.m").alias("q")))
+    two = one.unionByName(block_pairs(many, keys, "m", "parts", same=False).select("code", "p", "q"))
 
     def arrays(m: pa.Scalar) -> tuple[np.ndarray, ...]:
         v = m.values
@@ -189,9 +195,13 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     found = written(two.mapInArrow(compared, "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     comps = components(found.where("b is not null").select("a", "b"))
-    known = classes.select("id", "key", "weight").join(counts, "id", "left").join(comps, "id", "left")
-    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(known, "key", "left")
+    comps = written(comps)
+    every = comps.union(comps.select(F.col("component").alias("id"), "component")).distinct()
+    least = every.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    comps = every.join(least, "component").select("id", "least")
+    known = classes.select("id", "k1", "k2", "rep", "weight").join(counts, "id", "left").join(comps, "id", "left").where("weight > 1 or n is not null")
+    known = written(known.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component")))
+    out = looked_up(rows, known, ["k1", "k2"], LINKED_CLASSES)
     comp = F.coalesce("component", F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
 

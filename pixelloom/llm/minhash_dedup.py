@@ -9,9 +9,10 @@ keeps with probability 1 - LOSS is no candidate; with SKETCH_SAMPLES samples
 that is a similarity little below the threshold. All others are confirmed on
 their full sets.
 
-No bucket is expanded into pairs. Sets that are equal are one class. Every
-bucket then compares its classes with one centre, the class that shares
-most buckets with others. Buckets whose classes are not yet connected are
+No bucket is expanded into pairs. Sets that are equal are one class, with a
+number of its own. Every bucket then compares its classes with one centre,
+the class that shares most buckets with others; a centre of many pairs is
+sent to several tasks, each with a part of them. Buckets whose classes are not yet connected are
 compared block against block on sketches alone, only across components,
 and the survivors are confirmed too; so each link that bands can find ends
 up within one component, whatever a bucket's size.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare, broadcast_if_small, written
+from pixelloom.llm.common import block_pairs, broadcast_if_small, looked_up, prepare, written
 from pixelloom.llm.components import components
 
 #: MinHash samples of an odd sketch, and its bits. Samples make the estimate precise, bits keep hits from cancelling
@@ -40,8 +41,12 @@ LOSS = 1e-7
 BLOCK = 256
 #: Words whose hash a task remembers.
 MEMO = 150_000
-#: Ids that a broadcast may hold (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Probability with which a pair at the threshold shares no band: sets the number of bands.
+MISS = 5e-7
+#: Rows of ids, class numbers or hashes that a broadcast may hold (up to 32 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
+#: Pairs that one copy of a set serves; the set of a class with more pairs is copied.
+PAIRS_A_COPY = 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -123,6 +128,12 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def bands_for(percent: int, rows: int) -> int:
+    """Bands of `rows` samples with which a pair at the threshold shares none with probability MISS at most."""
+    share = (percent / 100) ** rows
+    return 1 if share >= 1 else math.ceil(math.log(MISS) / math.log(1 - share))
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, h1, h2, keys): set size, 128-bit hash of the set and band keys; the last three null for an empty set."""
     prepare(docs.sparkSession)
@@ -136,8 +147,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                 n.append(len(s))
                 full.append(len(s) > 0)
                 if len(s):
-                    d = xxhash.xxh3_128_digest(s.data)
-                    h.append(np.frombuffer(d, np.int64))
+                    h.append(_hashes(s))
                     m.append(samples.of(s))
                 else:
                     h.append(np.zeros(2, np.int64))
@@ -154,26 +164,42 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, s, sketch): the full sets, as bytes, and odd sketches of the documents in ids."""
-    few = broadcast_if_small(ids, BROADCAST_IDS)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(few, "id", "left_semi")
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """wanted (id: a class number, rep, h1, h2) -> (id, s, sketch): the full sets of the classes, as bytes, and their odd sketches, from texts of their representatives. An id that repeats with other texts gives sets of other hashes, which are left out."""
+    few = broadcast_if_small(wanted.select(F.col("rep").alias("id")).distinct(), BROADCAST_IDS)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(few, "id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = Samples(SKETCH_SAMPLES, 2)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            sketches = pa.array([odd_sketch(samples.of(s)) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], ["id", "s", "sketch"])
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
+            h = np.array([_hashes(s) for s in sets], np.int64).reshape(-1, 2)
+            sketches = pa.array([odd_sketch(samples.of(s)) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(h[:, i]) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], ["h1", "h2", "s", "sketch"])
         _words.clear()
 
-    return rows.mapInArrow(run, "id long, s binary, sketch array<long>")
+    got = rows.mapInArrow(run, "h1 long, h2 long, s binary, sketch array<long>").groupBy("h1", "h2").agg(F.first("s").alias("s"), F.first("sketch").alias("sketch"))
+    return got.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "s", "sketch")
+
+
+def _hashes(s: np.ndarray) -> np.ndarray:
+    """128 bits of a set as two numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(s.data), np.int64)
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, end: str, other: str, column: str, name: str) -> DataFrame:
+    """pairs with a column of the set of pairs' column `end`; the pairs of an end that has many are parted by `other`, and its set is copied for each part."""
+    counts = pairs.groupBy(end).agg(F.count("*").alias("n")).where(f"n > {PAIRS_A_COPY}")
+    hot = written(counts.select(end, F.expr(f"cast(ceil(n / {PAIRS_A_COPY}) as long)").alias("parts")))
+    small = broadcast_if_small(hot, BROADCAST_IDS)
+    dealt = pairs.join(small, end, "left").withColumn("part", F.expr(f"pmod(xxhash64({other}), coalesce(parts, 1L))")).drop("parts")
+    copies = sets.select(F.col("id").alias(end), F.col(column).alias(name)).join(small, end, "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)"))).drop("parts")
+    return dealt.join(copies, [end, "part"]).drop("part")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    both = _beside(_beside(pairs, sets, "a", "b", "s", "sa"), sets, "b", "a", "s", "sb").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +220,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
     """The pairs (a, b) whose sketches differ in no more bits than the bound."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    both = _beside(_beside(pairs, sets, "a", "b", "sketch", "x"), sets, "b", "a", "sketch", "y")
     differing = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
     return both.where(differing <= bound).select("a", "b")
 
@@ -206,12 +231,12 @@ def _across(members: DataFrame, known: DataFrame, bound: int) -> DataFrame:
     blocks = (
         members.join(size.select("key", "size"), "key")
         .join(known, "id")
-        .withColumn("block", F.expr(f"pmod(xxhash64(id), cast(ceil(size / {BLOCK}) as long))"))
-        .groupBy("key", "block")
+        .withColumn("parts", F.expr(f"cast(ceil(size / {BLOCK}) as long)"))
+        .withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
+        .groupBy("key", "parts", "block")
         .agg(F.collect_list(F.struct("id", "comp", "keys", "sketch")).alias("m"))
     )
-    blocks = written(blocks)
-    two = blocks.alias("x").join(blocks.alias("y"), F.expr("x.key = y.key and x.block <= y.block")).select(F.col("x.key").alias("key"), F.col("x.m").alias("x"), F.col("y.m").alias("y"))
+    two = block_pairs(written(blocks), ["key"], "m", "parts", same=True)
 
     def arrays(m: pa.Scalar) -> tuple[np.ndarray, ...]:
         v = m.values
@@ -237,39 +262,48 @@ def _across(members: DataFrame, known: DataFrame, bound: int) -> DataFrame:
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int | None = None, rows: int = 4) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs, linked where 100 * intersection >= percent * union.
 
     component_id is the smallest id reachable by links, kept says whether it
     is the row's own. Null or wordless texts have an empty set and link with
     nothing; a null id is kept and has no component; rows that repeat an id
-    all take part and share its component; other columns are not read; an
-    empty table gives no rows.
+    all take part, with equal texts or different ones, and share its
+    component; other columns are not read; an empty table gives no rows.
+    Without bands, their number follows from percent and MISS.
     """
-    feats = written(features(docs, id_col, text_col, shingle, bands, rows))
-    classes = feats.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = written(classes.join(feats, ["h1", "h2"]).where("id = rep").select("id", "keys").dropDuplicates(["id"]))
-    entries = reps.select("id", F.explode("keys").alias("key"))
+    feats = written(features(docs, id_col, text_col, shingle, bands or bands_for(percent, rows), rows))
+    full = feats.where("h1 is not null and id is not null")
+    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
+    entries = classes.select("id", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = entries.join(shared, "key")
     central = members.groupBy("id").agg(F.sum("size").alias("score"))
     members = written(members.select("key", "id").join(central, "id"))
-    sets = written(_sets(docs, id_col, text_col, written(members.select("id").distinct()), shingle).dropDuplicates(["id"]))
+    wanted = written(classes.join(broadcast_if_small(written(members.select("id").distinct()), BROADCAST_IDS), "id", "left_semi").select("id", "rep", "h1", "h2", "keys"))
+    sets = written(_sets(docs, id_col, text_col, wanted, shingle))
 
     bound = sketch_bound(SKETCH_SAMPLES, percent)
     centre = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("b"))
-    pairs = members.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    pairs = written(_alike(pairs, sets, bound))
-
-    links = written(_confirmed(pairs, sets, percent))
+    pairs = written(members.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    links = written(_confirmed(written(_alike(pairs, sets, bound)), sets, percent))
     first = written(components(links))
     labelled = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    more = written(_across(labelled, reps.join(sets.select("id", "sketch"), "id"), bound))
-    found = _confirmed(more, sets, percent)
-    edges = links.union(found)
-    comps = components(edges)
-
-    known = classes.join(comps, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("comp"))
-    out = feats.drop("keys", "sketch").join(known, ["h1", "h2"], "left")
+    more = written(_across(labelled, wanted.select("id", "keys").join(sets.select("id", "sketch"), "id"), bound))
+    edges = links.union(_confirmed(more, sets, percent))
+
+    # From classes to ids: a class is its smallest id, and an id of several classes links them.
+    names = classes.select("id", "rep")
+    ends = edges.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b").select("ra", "rb")
+    several = written(full.groupBy("id").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("h2").alias("z"), F.max("h2").alias("w")).where("x <> y or z <> w").select("id"))
+    if not several.isEmpty():
+        own = full.join(broadcast_if_small(several, BROADCAST_IDS), "id", "left_semi").select("id", "h1", "h2").distinct()
+        ends = ends.union(own.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep"))
+    comps = written(components(ends))
+    known = classes.select("h1", "h2", "rep", "n").join(comps.toDF("rep", "component"), "rep", "left").where("n > 1 or component is not null")
+    known = written(known.select("h1", "h2", F.coalesce("component", "rep").alias("comp")))
+    out = feats.select("id", "n_shingles", "h1", "h2")
+    out = looked_up(out, known, ["h1", "h2"], BROADCAST_IDS)
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))

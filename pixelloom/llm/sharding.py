@@ -10,13 +10,18 @@ round's table says, for a prefix, the depth of its bucket or that the next
 round decides; rows find their shard by equi-joins with these tables.
 
 A bucket of one hash that exceeds the limit can't be parted by hash bits (a
-key that repeats, or one huge row). Its rows are dealt into numbered parts
-instead; a single row stays a shard of its own.
+key that repeats, or one huge row). Its rows are dealt into numbered parts by
+their running bytes instead, in order of a hash of the whole row: rows of up
+to half the limit share a part while they start within half a limit, larger
+ones are parts of their own. So every shard fits but those of one huge row.
+Running bytes are taken in two levels, over parts of about a shard's size,
+so no task sorts a hot key's rows alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import broadcast_if_small, written
@@ -71,7 +76,7 @@ def shards(docs: DataFrame, key: list[str] | None = None, text_col: str = "text"
     n_bytes is the UTF-8 length of text_col, 0 for null. A null key column
     counts as the empty text. Rows of one key share a shard unless they exceed
     the limit together. An empty table gives no rows; columns of these names
-    are replaced.
+    are replaced, and none may start with two underscores.
     """
     key = key or ["doc_id"]
     rest = docs.drop("shard", "shard_depth", "n_bytes")
@@ -83,11 +88,27 @@ def shards(docs: DataFrame, key: list[str] | None = None, text_col: str = "text"
         few = broadcast_if_small(table.where("depth is not null").select(F.col("cell").alias("__cell"), F.struct("depth", "prefix", "parts").alias(f"__e{i}")), BROADCAST_ENTRIES)
         out = out.withColumn("__cell", F.expr(f"shiftright(__h, {BITS - STEP * (i + 1)})")).join(few, "__cell", "left").drop("__cell")
         found.append(F.col(f"__e{i}"))
-    out = out.withColumn("__e", F.coalesce(*found[1:]))
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__e.parts"))
     name = F.concat_ws("-", F.col("__e.depth"), F.col("__e.prefix"))
-    out = out.withColumn("shard", F.when(F.col("__e.parts") > 1, F.concat_ws(".", name, part)).otherwise(name)).withColumn("shard_depth", F.col("__e.depth")).withColumn("n_bytes", size)
-    return out.select(*rest.columns, "shard", "shard_depth", "n_bytes")
+    out = out.withColumn("__e", F.coalesce(*found[1:])).withColumn("shard", name).withColumn("shard_depth", F.col("__e.depth")).withColumn("n_bytes", size)
+    hot = any(not t.where("parts > 1").isEmpty() for t in rounds)
+    single = out.where("coalesce(__e.parts, 1) <= 1") if hot else out
+    single = single.select(*rest.columns, "shard", "shard_depth", "n_bytes")
+    return single.unionByName(_dealt(out.where("__e.parts > 1"), limit).select(*single.columns)) if hot else single
+
+
+def _dealt(rows: DataFrame, limit: int) -> DataFrame:
+    """rows of hot shards (with __e.parts, n_bytes, shard), shard with .part behind it."""
+    own = [f.name for f in rows.schema.fields if not f.name.startswith("__") and "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumn("__order", F.xxhash64(*[F.col(f"`{c}`") for c in own])).withColumn("__large", F.col("n_bytes") > limit // 2)
+    # Large rows count as one unit each, others by their bytes.
+    rows = rows.withColumn("__unit", F.when(F.col("__large"), F.lit(1).cast("long")).otherwise(F.col("n_bytes"))).withColumn("__sub", F.pmod("__order", "__e.parts"))
+    sums = rows.groupBy("shard", "__large", "__sub").agg(F.sum("__unit").alias("__sum"))
+    before = sums.withColumn("__before", F.sum("__sum").over(W.partitionBy("shard", "__large").orderBy("__sub")) - F.col("__sum")).drop("__sum")
+    inside = W.partitionBy("shard", "__large", "__sub").orderBy("__order", "n_bytes").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__upto", F.sum("__unit").over(inside)).join(written(before), ["shard", "__large", "__sub"])
+    start = F.col("__before") + F.col("__upto") - F.col("__unit")
+    part = F.when(F.col("__large"), F.concat(F.lit("r"), start)).otherwise(F.floor(start / F.lit(max(1, limit // 2))).cast("string"))
+    return rows.withColumn("shard", F.concat_ws(".", "shard", part))
 
 
 def oracle(limit: int) -> str:

@@ -82,6 +82,27 @@ def test_minhash_equals_brute_force(spark, shingle, percent):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_ids_that_repeat_with_other_texts(spark, monkeypatch):
+    """Such an id links all that any of its texts links; sets come from the right text; hot centres are copied."""
+    monkeypatch.setattr(minhash_dedup, "PAIRS_A_COPY", 2)
+    a, b = [[f"{x}{i}" for i in range(40)] for x in "ab"]
+    near = lambda t, k: " ".join([*t[:-1], f"z{k}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), *((10 + k, near(a, k)) for k in range(6)), *((20 + k, near(b, k)) for k in range(6)), (1, near(b, 9)), (30, "other"), (31, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(df, shingle=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 30 if i >= 30 else 1 for i, _ in rows} and len(got) == len(rows)
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_IDS", 0)
+    again = minhash_dedup.near_duplicates(df.union(spark.createDataFrame([(40, None), (None, "x")], df.schema)), shingle=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in again if r.doc_id} == {i: 30 if i >= 30 else 1 for i, _ in rows} | {40: 40}
+
+
+def test_bands_follow_the_threshold():
+    for percent in (50, 80, 85, 100):
+        n = minhash_dedup.bands_for(percent, 4)
+        assert (1 - (percent / 100) ** 4) ** n <= minhash_dedup.MISS
+    assert minhash_dedup.bands_for(85, 4) == 20
+
+
 def test_minhash_block_against_block(spark, monkeypatch):
     """Buckets of many blocks, whose members link with each other but rarely with the centre."""
     rng = random.Random(8)
@@ -149,6 +170,17 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, dim, block):
     assert embedding_dedup.linked(df.limit(0)).count() == 0
 
 
+def test_embedding_ids_that_repeat_with_other_vectors(spark, monkeypatch):
+    rows = [(4, [1.0, 0.0], 0), (4, [0.0, 1.0], 0), (5, [1.0, 0.001], 0), (6, [0.001, 1.0], 0), (3, [0.002, 1.0], 0), (9, None, 0)]
+    want = [(3, 2, 3, True), (4, 1, 4, True), (4, 2, 3, False), (5, 1, 4, False), (6, 2, 3, False), (9, 0, 9, True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embedding_dedup.linked(df).collect()) == want
+    monkeypatch.setattr(embedding_dedup, "LINKED_CLASSES", 0)
+    assert sorted(tuple(r) for r in embedding_dedup.linked(df).collect()) == want
+    with pytest.raises(ValueError):
+        embedding_dedup.linked(df, threshold=0.9)
+
+
 def test_embedding_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [1.0, 0.001], 0)], "vec_id long, embedding array<double>, label int")
     got = sorted((tuple(r) for r in embedding_dedup.linked(df).collect()), key=str)

@@ -36,15 +36,18 @@ def test_shards_equal_brute_force(spark, limit):
 
 
 def test_shard_limit_and_hot_key(spark):
-    rows = [(7, "a" * 100)] * 300 + [(i, "b" * 50) for i in range(100, 200)] + [(None, "c" * 10)] * 2
+    rows = [(7, "a" * 100)] * 300 + [(7, "d" * n) for n in (1400, 1500, 1501, 2999, 3000, 3001, 9000)] + [(i, "b" * 50) for i in range(100, 200)] + [(None, "c" * 10)] * 2 + [(7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sharding.shards(df, limit=3000).collect()
     assert len(got) == len(rows)
-    size = collections.Counter()
+    size, n = collections.Counter(), collections.Counter()
     for r in got:
         size[r.shard] += r.n_bytes
+        n[r.shard] += 1
     assert len({r.shard for r in got if r.doc_id == 7}) > 5
-    assert max(size.values()) <= 2 * 3000
+    assert all(b <= 3000 or n[s] == 1 for s, b in size.items())
+    again = collections.Counter((r.doc_id, r.text, r.shard) for r in sharding.shards(df.repartition(7), limit=3000).collect())
+    assert again == collections.Counter((r.doc_id, r.text, r.shard) for r in got)
     assert sharding.shards(df.limit(0)).count() == 0
 
 
