@@ -1,18 +1,23 @@
 """Operator 8: exact top-k inner products by MaxScore.
 
-Every dimension is a term. Rows are dealt into shards; within a shard, a
-term's posting list for a query are the rows to which it adds a positive
-amount, and its score bound is the largest amount it adds to any row of the
-shard. For each query terms are ordered by bound. Those at the low end
-whose bounds together stay below the query's threshold are non-essential: a
-row that is in no essential list can't reach the threshold. Rows of
-essential lists are scored on essential terms, then probed in the others
-from the largest bound down while what they have plus what is left can
-still reach the threshold. What remains has its exact score.
-
-A query's threshold starts as its k-th best score in one shard and rises
-within each further one. Bounds are compared so that ties stay. Each shard
+Every dimension is a term. Rows are dealt into shards, a shard into parts;
+within a part, a term's postings for a query are the rows to which it adds a
+positive amount, and its score bound is the largest amount it adds to any
+row of the part. For each query terms are ordered by bound. Those at the
+low end whose bounds together stay below the query's threshold are
+non-essential: a row that is in no essential list can't reach the threshold.
+Rows of essential lists are scored on essential terms, then probed in the
+others from the largest bound down while what they have plus what is left
+can still reach the threshold. What remains has its exact score.
+
+A query's threshold starts as its k-th best score in one shard. In each
+further shard parts are traversed from the highest bound down; the threshold
+rises with the k best found there, and ends the traversal at the first part
+whose bound is below it. Bounds are compared so that ties stay. Each shard
 gives at most k rows for a query; the merge ranks those.
+
+Vectors are dense, so a term's postings are about half of all rows, and it
+is the probing that prunes: most rows are scored on part of the terms only.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.common import prepare, written
 
-#: Rows of a shard, and queries of a block, on average.
-SHARD, QUERIES = 2048, 256
+#: Rows of a shard, and queries of a block, on average; rows of a part.
+SHARD, QUERIES, PART = 2048, 256, 512
 #: Terms that are probed between two looks at the bounds.
 STEP = 8
 
@@ -39,9 +44,11 @@ class Shard:
     def __init__(self, ids: np.ndarray, keys: np.ndarray, v: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.keys, self.v = ids[order], keys[order], v[order]
-        self.high, self.low = self.v.max(0), self.v.min(0)
+        self.parts = [slice(i, i + PART) for i in range(0, len(v), PART)]
+        self.high, self.low = (np.stack([f(self.v[p], axis=0) for p in self.parts]) for f in (np.max, np.min))
         self.most = np.abs(self.v).max()
         self.exact = np.ascontiguousarray(self.v, dtype=np.float64)
+        self.probed = 0  # (row, term) pairs that top() has multiplied
 
     def top(self, q: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
         """Up to k (score, id) of rows other than own, best first, ties to smaller ids; rows below least may lack."""
@@ -51,29 +58,47 @@ class Shard:
             return self._best(np.arange(len(scores)), scores, own, k)
         q = q[:d].astype(np.float64)
         if least is None:
+            self.probed += self.exact.size
             return self._best(np.arange(len(self.ids)), self.exact[:, :d] @ q, own, k)
-        bound = np.maximum(q * self.high[:d], q * self.low[:d])
+        bounds = np.maximum(q * self.high[:, :d], q * self.low[:, :d])
+        most = bounds.sum(1)
+        rows, scores = np.empty(0, np.int64), np.empty(0)
+        for i in np.argsort(-most, kind="stable"):
+            if most[i] < least:
+                break
+            r, s = self._part(self.parts[i], q, bounds[i], least)
+            other = self.keys[r] != own
+            rows, scores = np.concatenate([rows, r[other]]), np.concatenate([scores, s[other]])
+            if len(rows) >= k:
+                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+                rows, scores = rows[scores >= least], scores[scores >= least]
+        return self._best(rows, scores, own, k)
+
+    def _part(self, part: slice, q: np.ndarray, bound: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a part that reach least, and their scores."""
         terms = np.argsort(bound, kind="stable")
         upto = np.cumsum(bound[terms])  # of the terms so far, all non-essential
         split = int(np.searchsorted(np.maximum.accumulate(upto), least, side="left"))
-        if split == d:
-            return []  # no row of the shard reaches the threshold
+        if split == len(q):
+            return np.empty(0, np.int64), np.empty(0)
         essential = terms[split:]
-        part = self.exact[:, essential] * q[essential]
-        rows = np.nonzero((part > 0).any(1))[0] if least > 0 else np.arange(len(part))
-        have = part[rows].sum(1)
+        adds = self.exact[part][:, essential] * q[essential]
+        self.probed += adds.size
+        rows = np.nonzero((adds > 0).any(1))[0] if least > 0 else np.arange(len(adds))
+        have = adds[rows].sum(1)
         left = upto[split - 1] if split else 0.0
+        rows += part.start
         at = split
         while True:
             keep = have + left >= least
             rows, have = rows[keep], have[keep]
             if not at or not len(rows):
-                break
+                return rows, have
             lo = max(0, at - STEP)
             probe = terms[lo:at]
             have = have + self.exact[np.ix_(rows, probe)] @ q[probe]
+            self.probed += len(rows) * len(probe)
             at, left = lo, upto[lo - 1] if lo else 0.0
-        return self._best(rows, have, own, k)
 
     def _best(self, rows: np.ndarray, scores: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         other = self.keys[rows] != own
@@ -102,7 +127,8 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     Components become floor(scale * x). Rows with a null id, a null or empty
     vector or null or non-finite components take no part; a shorter vector
     counts as filled with zeros; rows that repeat an id are rows of their
-    own, and only a query's own row is left out of its candidates. No rows,
+    own, and only a query's own row is left out of its candidates. Scores
+    beyond 64 bits are ranked exactly and given as the nearest long. No rows,
     or no queries, give no rows; other columns are not read.
     """
     prepare(vectors.sparkSession)

@@ -191,6 +191,7 @@ def test_embedding_repeated_and_null_ids(spark):
 def test_maxscore_equals_brute_force(spark, monkeypatch, shard, k):
     monkeypatch.setattr(maxscore, "SHARD", shard)
     monkeypatch.setattr(maxscore, "QUERIES", 2)
+    monkeypatch.setattr(maxscore, "PART", 7)
     rng = np.random.default_rng(shard)
     v = rng.normal(size=(150, 12)) * rng.choice([0.1, 1, 5], size=(150, 1))
     v[40:60] = v[0]
@@ -216,5 +217,10 @@ def test_maxscore_prunes_and_survives_large_numbers():
         full = s.top(v[q], q, 10, None)
         assert s.top(v[q], q, 10, full[-1][0]) == full
         assert [x for x in s.top(v[q], q, 10, full[4][0]) if x[0] >= full[4][0]] == [x for x in full if x[0] >= full[4][0]]
+    # One strong row in the part with the highest bound raises the threshold for the others.
+    v = rng.integers(-10, 10, (4 * maxscore.PART, 16))
+    v[5] = 1000
+    s = maxscore.Shard(np.arange(len(v)), np.arange(len(v)), v)
+    assert s.top(np.ones(16, int), -1, 1, 0) == [(16000, 5)] and s.probed <= maxscore.PART * 16
     big = maxscore.Shard(np.arange(3), np.arange(3), np.array([[2**40, 1], [2**40, 2], [2**40, 3]]))
     assert big.top(np.array([2**20, 1]), 9, 2, None) == [(2**60 + 3, 2), (2**60 + 2, 1)]
