@@ -187,19 +187,22 @@ def _hashes(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(s.data), np.int64)
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, end: str, other: str, column: str, name: str) -> DataFrame:
-    """pairs with a column of the set of pairs' column `end`; the pairs of an end that has many are parted by `other`, and its set is copied for each part."""
-    counts = pairs.groupBy(end).agg(F.count("*").alias("n")).where(f"n > {PAIRS_A_COPY}")
-    hot = written(counts.select(end, F.expr(f"cast(ceil(n / {PAIRS_A_COPY}) as long)").alias("parts")))
-    small = broadcast_if_small(hot, BROADCAST_IDS)
-    dealt = pairs.join(small, end, "left").withColumn("part", F.expr(f"pmod(xxhash64({other}), coalesce(parts, 1L))")).drop("parts")
-    copies = sets.select(F.col("id").alias(end), F.col(column).alias(name)).join(small, end, "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)"))).drop("parts")
-    return dealt.join(copies, [end, "part"]).drop("part")
+def _beside(pairs: DataFrame, sets: DataFrame, column: str, x: str, y: str) -> DataFrame:
+    """pairs (a, b), a written table, with a column of both sets, as x and y; the pairs of a class that has many are parted by the other end, and its set is copied for each part."""
+    out = pairs
+    for end, other, name in (("a", "b", x), ("b", "a", y)):
+        counts = pairs.groupBy(end).agg(F.count("*").alias("n")).where(f"n > {PAIRS_A_COPY}")
+        hot = written(counts.select(end, F.expr(f"cast(ceil(n / {PAIRS_A_COPY}) as long)").alias("parts")))
+        small = broadcast_if_small(hot, BROADCAST_IDS)
+        dealt = out.join(small, end, "left").withColumn("part", F.expr(f"pmod(xxhash64({other}), coalesce(parts, 1L))")).drop("parts")
+        copies = sets.select(F.col("id").alias(end), F.col(column).alias(name)).join(small, end, "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)"))).drop("parts")
+        out = dealt.join(copies, [end, "part"]).drop("part")
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    both = _beside(_beside(pairs, sets, "a", "b", "s", "sa"), sets, "b", "a", "s", "sb").select("a", "b", "sa", "sb")
+    both = _beside(pairs, sets, "s", "sa", "sb").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +223,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
     """The pairs (a, b) whose sketches differ in no more bits than the bound."""
-    both = _beside(_beside(pairs, sets, "a", "b", "sketch", "x"), sets, "b", "a", "sketch", "y")
+    both = _beside(pairs, sets, "sketch", "x", "y")
     differing = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
     return both.where(differing <= bound).select("a", "b")
 
