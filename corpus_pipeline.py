@@ -1,8 +1,12 @@
 """A corpus pipeline of five stages, each of which calls one training-data operator.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage
-before it kept and, but for the last, returns the columns of documents. run()
-writes each stage's rows as Parquet and reads them again for the next.
+before it kept and, but for the last, returns the columns of documents, in
+their order and with columns beyond those of the table, whatever their names.
+run() writes each stage's rows as Parquet and reads them again for the next.
+An empty table gives an empty one in every stage; whole texts of any length
+are read; rows that repeat go through as rows of their own up to the stage
+that removes copies.
 """
 
 from __future__ import annotations
@@ -21,25 +25,25 @@ BROADCAST_IDS = 1_000_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quality classifier scores below MIN_QUALITY. Null and empty texts are scored too."""
+    """Rejects documents that the quality classifier scores below MIN_QUALITY. Null and empty texts are scored too, as the empty text; a null id is never learned from; without labels all have 0.5 and stay."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, net).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language is unclear; a null lang becomes the predicted one."""
+    """Rejects documents without a letter, null texts among them, and those whose language is unclear; a null lang becomes the predicted one. Without any lang to learn from nothing can be told, and all are rejected."""
     got = langid.predict(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE))
     return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines; whole copies stay for the next stage, and n_chars follows the text."""
+    """Drops each source's boilerplate lines; whole copies stay for the next stage, and n_chars follows the text. Null sources are one source; null texts and ids stay."""
     got = line_dedup.drop_boilerplate(docs, "source", "text", min_pages=5, spare_copies=True)
     return got.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, and one row of it where rows repeat."""
+    """Keeps the document with the smallest id of each group of near duplicates, and one row of it where rows repeat. Null and wordless texts are near nothing, a null id is never removed; an id that repeats with other texts keeps one row of each text."""
     found = written(minhash_dedup.near_duplicates(docs, shingle=5, percent=80))
     gone = written(found.where("not kept").select("doc_id").distinct())
     rest = docs.join(broadcast_if_small(gone, BROADCAST_IDS), "doc_id", "left_anti")
@@ -51,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids' CRC-32."""
+    """Pieces of sequences of 2048 tokens, with their ids' CRC-32. Null text is empty: its end of text alone; null ids and sources are kept as they are."""
     return packing.digests(packing.pack(docs, P.path("word_bpe_49k.json"), end_id=1, length=2048))
 
 
