@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +66,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_blank = re.compile(r"[ \n\t\r]").search
+
+
+def spans(text: str, size: int) -> Iterator[str]:
+    """Parts of a text of about `size` characters or fewer, cut before blanks and line ends only."""
+    at = 0
+    while len(text) - at > size:
+        cut = _blank(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if df (a written table) has at most max_rows rows; else Spark's own choice of join."""
     few = df.limit(max_rows + 1).count() <= max_rows

@@ -13,6 +13,7 @@ can be sent to every worker. Prediction is one pass without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare, written
+from pixelloom.llm.common import prepare, spans, written
 from pixelloom.llm.sampling import bounded_ids, held_out
 
 #: Labelled rows that the model is fitted on, at most.
@@ -32,8 +33,10 @@ TRAIN_ROWS = 5000
 MAX_N = 4
 #: Words, and n-grams, that the model holds at most, over all languages.
 MODEL_ENTRIES = 120_000
-#: Numbers that a task's memo of scored chunks holds at most, and chunks.
-MEMO_CELLS, MEMO_CHUNKS = 2_000_000, 200_000
+#: Words beyond the model's whose scores a task remembers, and characters of text that are scored at a time.
+MEMO_WORDS, SPAN_CHARS = 100_000, 1 << 21
+#: Lower-cased letters of Latin-1, for such texts, by the faster standard library; and letters of any text.
+_LATIN, _LATIN_WORDS, _WORDS = re.compile("[\x00-\xff]*").fullmatch, re.compile("[a-zªµºß-öø-ÿ]+").findall, regex.compile(r"\p{L}+").findall
 
 #: What is predicted for a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -49,55 +52,92 @@ class Model:
 
 
 class Scorer(dict):
-    """self[chunk] is the row of a chunk's score in self.rows; rows end with the number of words."""
+    """self[word] is the word's row in a table of scores: the model's words first, then others as they come.
+
+    A new word gets its scores by back-off when its group of texts is
+    scored; the first MEMO_WORDS of those stay known, the rest for their
+    group only.
+    """
 
     def __init__(self, model: Model):
-        super().__init__()
+        super().__init__(model.words)
         self.model, self.k = model, len(model.languages)
-        self.room = min(MEMO_CHUNKS, max(1000, MEMO_CELLS // (self.k + 1)))
-        self.rows = np.zeros((self.room, self.k + 1), np.float32)
-        self.more: list[np.ndarray] = []
-        self.letters = regex.compile(r"\p{L}+").findall
-
-    def word(self, w: str) -> np.ndarray:
-        if (got := self.model.words.get(w)) is not None:
-            return self.model.word_scores[got]
-        s, i, out = f"^{w}$", 0, []
-        grams = self.model.grams
-        while i < len(s):
-            for n in range(min(MAX_N, len(s) - i), 0, -1):
-                if (got := grams.get(s[i : i + n])) is not None:
-                    out.append(got)
-                    break
-            i += n
-        return self.model.gram_scores[out].sum(0)
-
-    def __missing__(self, chunk: str) -> int:
-        row = np.zeros(self.k + 1, np.float32)
-        for w in self.letters(chunk.lower()):
-            row[:-1] += self.word(w)
-            row[-1] += 1
-        if len(self) < self.room:
-            self.rows[len(self)] = row
-            self[chunk] = len(self)
-            return len(self) - 1
-        self.more.append(row)
-        return -1
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        chunks = text.split() if text else []
-        if not chunks:
-            return UNDETERMINED, 0.0
-        at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        total = self.rows[at[at >= 0]].sum(0, dtype=np.float64)
-        if self.more:
-            total += np.sum(self.more, 0, dtype=np.float64)
-            self.more.clear()
-        if not total[-1] or not self.k:
-            return UNDETERMINED, 0.0
-        s = (total[:-1] - total[:-1].max()) / max(1.0, total[-1]) ** 0.5
-        best = int(np.argmax(s))
-        return self.model.languages[best], float(1 / np.exp(s).sum())
+        self.rows, self.new = model.word_scores, []
+        #: A word without any known n-gram has the last row.
+        self.gram_scores = np.concatenate([model.gram_scores, np.zeros((1, self.k), np.float32)])
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        row = self[word] = len(self)
+        return row
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: the sums of those of the n-grams that cover it."""
+        grams, flat, starts = self.model.grams, [], []
+        for word in words:
+            starts.append(len(flat))
+            s, i = f"^{word}$", 0
+            end = len(s)
+            while i < end:
+                for n in range(min(MAX_N, end - i), 0, -1):
+                    if (got := grams.get(s[i : i + n])) is not None:
+                        flat.append(got)
+                        break
+                i += n
+            if len(flat) == starts[-1]:
+                flat.append(len(grams))
+        return np.add.reduceat(self.gram_scores[flat], starts, axis=0)
+
+    def words(self, text: str) -> list[str]:
+        return _LATIN_WORDS(text.lower()) if _LATIN(text) else _WORDS(text.lower())
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed scores of each text in each language, and its number of words. A text's sum doesn't depend on its neighbours."""
+        total, count = np.zeros((len(texts), self.k)), np.zeros(len(texts), np.int64)
+        codes: list[np.ndarray] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            rows = np.concatenate([self.rows, self.backoff(self.new)]) if self.new else self.rows
+            n = [len(c) for c in codes]
+            if codes:
+                total[owner] += np.add.reduceat(rows[np.concatenate(codes)].astype(np.float64), np.cumsum([0, *n[:-1]]), axis=0)
+                count[owner] += n
+            room = len(self.model.words) + MEMO_WORDS
+            if len(self) > room:
+                for w in self.new[max(0, room - len(self.rows)) :]:
+                    del self[w]
+            self.rows, self.new = rows[: len(self)], []
+            codes.clear()
+            owner.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if size + len(text) > SPAN_CHARS:
+                flush()
+            for span in spans(text, SPAN_CHARS):
+                if owner and owner[-1] == i:
+                    flush()
+                if words := self.words(span):
+                    codes.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+                    owner.append(i)
+                size += len(span)
+        flush()
+        return total, count
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text, and its share of the likelihood."""
+        if not self.k:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        total, count = self.sums(texts)
+        s = (total - total.max(1, keepdims=True)) / np.sqrt(np.maximum(count, 1))[:, None]
+        best, score = s.argmax(1), 1 / np.exp(s).sum(1)
+        some = count > 0
+        return [self.model.languages[b] if x else UNDETERMINED for b, x in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0).tolist()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, entries: int = MODEL_ENTRIES) -> Model:
@@ -146,8 +186,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            got = [scorer.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            lang, score = scorer.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.mapInArrow(run, f"{cols}, lang_pred string, score double")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare, written
+from pixelloom.llm.common import prepare, spans, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -166,7 +166,7 @@ class Pieces(dict):
             owner.clear()
 
         for i, text in enumerate(texts):
-            for span in spans(text) if self.by_words else (text,):
+            for span in spans(text, SPAN_CHARS) if self.by_words else (text,):
                 p = self.pieces(span)
                 codes.append(np.fromiter(map(self.__getitem__, p), np.int32, len(p)))
                 owner.append(i)
@@ -181,19 +181,6 @@ class Pieces(dict):
         return np.concatenate(flat), counts
 
 
-def spans(text: str) -> Iterator[str]:
-    """Parts of a text of about SPAN_CHARS characters or fewer, cut before blanks and line ends only."""
-    at = 0
-    while len(text) - at > SPAN_CHARS:
-        cut = _BLANK(text, at + SPAN_CHARS)
-        if not cut:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:] if at else text
-
-
-_BLANK = re.compile(r"[ \n\t\r]").search
 _known: dict[tuple[str, int], Pieces] = {}
 
 

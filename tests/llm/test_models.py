@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 
 from pixelloom.llm import langid, quality
 from pixelloom.llm.sampling import bounded_ids
@@ -45,13 +46,42 @@ def test_language_without_labels(spark, docs):
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, model).collect()} == {("und", 0.0)}
 
 
-def test_memo_overflow_changes_nothing(docs):
+def brute_language(model, text):
+    """Word by word, n-gram by n-gram."""
+    words = regex.findall(r"\p{L}+", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    total = np.zeros(len(model.languages))
+    for w in words:
+        if w in model.words:
+            total += model.word_scores[model.words[w]]
+            continue
+        s = f"^{w}$"
+        while s:
+            n = next((n for n in range(min(langid.MAX_N, len(s)), 0, -1) if s[:n] in model.grams), 0)
+            total += model.gram_scores[model.grams[s[:n]]] if n else 0
+            s = s[n or 1 :]
+    p = np.exp((total - total.max()) / len(words) ** 0.5)
+    return model.languages[int(np.argmax(total))], p.max() / p.sum()
+
+
+def test_language_equals_brute_force(spark, docs, monkeypatch):
+    """Also with memos that overflow, and with texts longer than a span."""
+    rng = random.Random(6)
+    parts = ["The", "haus", "GRÜN", "riverhouse", "flüssegehen", "qqq", "日本", "ОДОС", "İx", "ŒUVRE", "x1y", "---", "\n", "\x85", "a b"]
+    texts = [None, "", "12 --"] + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     model = langid.fit(docs)
-    a, b = langid.Scorer(model), langid.Scorer(model)
-    b.room = 3
-    for t in ("the green house das", "haus river qqq zzz www", "the the the"):
-        x, y = a.predict(t), b.predict(t)
-        assert x[0] == y[0] and x[1] == pytest.approx(y[1])
+    want = [brute_language(model, t) for t in texts]
+    for memo, size in ((100_000, 1 << 21), (5, 1 << 21), (0, 200), (7, 20)):
+        monkeypatch.setattr(langid, "MEMO_WORDS", memo)
+        monkeypatch.setattr(langid, "SPAN_CHARS", size)
+        scorer = langid.Scorer(model)
+        for lo in range(0, len(texts), 100):
+            got = list(zip(*scorer.predict(texts[lo : lo + 100]), strict=True))
+            for (x, p), (y, q) in zip(got, want[lo : lo + 100], strict=True):
+                assert p == pytest.approx(q, abs=1e-5) and (x == y or abs(p - 0.5) < 1e-5)
+            assert len(scorer) == len(scorer.rows) <= len(model.words) + memo
 
 
 def test_language_held_out_accuracy(spark):
