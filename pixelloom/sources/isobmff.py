@@ -23,7 +23,7 @@ from pixelloom.session import ship
 
 # Boxes that hold boxes, and the bytes before the first of those.
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "iprp": 0, "ipco": 0, "meta": 4, "grpl": 0, "mvex": 0, "moof": 0, "traf": 0}
-#: Item types that are images.
+# Item types that are images.
 IMAGE_TYPES = ("hvc1", "av01", "grid", "tili", "iden", "iovl", "avc1", "unci", "vvc1", "jpeg", "j2k1", "mski")
 
 #: Columns of each table; path comes first in all.
@@ -88,7 +88,7 @@ def scan(data: bytes) -> list[Box]:
             out.append(box)
             if parent is not None:
                 out[parent].children.append(me)
-            if n >= LIMITS.children_per_box:
+            if parent is not None and n >= LIMITS.children_per_box:
                 box.error = "too many children"
                 return
             if not error and box.type in CONTAINERS and depth < 32:
@@ -171,6 +171,12 @@ def _items(data: bytes, all_boxes: list[Box]) -> Iterator[tuple]:
 
 
 def _extents(data: bytes, all_boxes: list[Box]) -> Iterator[tuple]:
+    for *row, _ in _places(data, all_boxes):
+        yield row
+
+
+def _places(data: bytes, all_boxes: list[Box]) -> Iterator[tuple]:
+    """Rows of "extents", and each one's extent index (0 without one)."""
     for b in all_boxes:
         if b.type != "iloc" or b.error:
             continue
@@ -187,10 +193,9 @@ def _extents(data: bytes, all_boxes: list[Box]) -> Iterator[tuple]:
             if n > LIMITS.extents_per_item:
                 raise ValueError("too many extents")
             for k in range(n):
-                if version and index_size:
-                    f.u(index_size)
+                index = f.u(index_size) if version and index_size else 0
                 offset = f.u(offset_size) if offset_size else 0
-                yield item, k, method, base + offset, f.u(length_size) if length_size else 0
+                yield item, k, method, base + offset, f.u(length_size) if length_size else 0, index
 
 
 def _properties(data: bytes, all_boxes: list[Box]) -> Iterator[tuple]:
@@ -319,12 +324,13 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
-def table(contents: DataFrame, name: str) -> DataFrame:
-    """(path, ...) of one of TABLES for contents (path, content). A file whose table is broken gives the rows before the break."""
-    ship(contents.sparkSession)
-    contents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def table(contents: DataFrame, name: str, with_errors: bool = False) -> DataFrame:
+    """(path, ...) of one of TABLES for contents (path, content). A file whose table is broken gives the rows before the break, and with_errors one more row with what is wrong in a last column `broken`."""
+    _prepare(contents.sparkSession)
     reader, cols = _READERS[name], [c.split() for c in TABLES[name].split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    cols = [["path", "string"], *cols, *([["broken", "string"]] if with_errors else [])]
+    tail = (None,) * with_errors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,29 +339,74 @@ def table(contents: DataFrame, name: str) -> DataFrame:
                 data = content.as_py() or b""
                 try:
                     for row in reader(data, scan(data)):
-                        rows.append((path, *row))
-                except (ValueError, struct.error):
-                    pass  # what precedes the break stands; table "boxes" tells what is wrong
-            columns = list(zip(*rows, strict=True)) or [[] for _ in range(len(cols) + 1)]
-            arrays = [pa.array(columns[0], pa.string()), *(pa.array(c, kinds[k]) for c, (_, k) in zip(columns[1:], cols, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, ["path", *(n for n, _ in cols)])
-
-    return contents.select("path", "content").mapInArrow(run, f"path string, {TABLES[name]}")
+                        rows.append((path, *row, *tail))
+                except (ValueError, struct.error) as e:
+                    if with_errors:
+                        rows.append((path, *[None] * (len(cols) - 2), str(e)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(cols)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, cols, strict=True)], [n for n, _ in cols])
+
+    return contents.select("path", "content").mapInArrow(run, ", ".join(" ".join(c) for c in cols))
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Ships this package, and bounds the session's Arrow batches by bytes: contents are whole files."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def item_values(data: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """(item_id, its extents' bytes) of a file: from the file (method 0), its idat box (1) or other items that it refers to by 'iloc' (2). None for extents outside of those, items in a circle and unknown methods; a length of 0 means to the end."""
+    boxes = scan(data)
+    idat = next(((b.body, b.end) for b in boxes if b.type == "idat"), None)
+    places: dict[int, list[tuple]] = {}
+    for item, _, method, offset, length, index in _places(data, boxes):
+        places.setdefault(item, []).append((method, offset, length, index))
+    sources: dict[int, list[int]] = {}
+    for _, source, kind, _, target in _item_refs(data, boxes):
+        if kind == "iloc":
+            sources.setdefault(source, []).append(target)
+    known: dict[int, bytes | None] = {}
+
+    def value(item: int, users: frozenset[int]) -> bytes | None:
+        if item in known or item in users or item not in places or len(users) > LIMITS.children_per_box:
+            return known.get(item)
+        parts = []
+        for method, offset, length, index in places[item]:
+            whole, begin, end = data, 0, len(data)
+            if method == 1 and idat:
+                begin, end = idat
+            elif method == 2 and 0 < max(index, 1) <= len(sources.get(item, [])):
+                whole = value(sources[item][max(index, 1) - 1], users | {item})
+                end = len(whole or b"")
+            elif method:
+                whole = None
+            at = begin + offset
+            stop = at + length if length else end
+            if whole is None or at > stop or stop > end:
+                return None
+            parts.append(whole[at:stop])
+        return b"".join(parts)
+
+    for item in places:
+        known[item] = value(item, frozenset())
+        yield item, known[item]
 
 
 def item_bytes(contents: DataFrame) -> DataFrame:
-    """(path, item_id, data): each item's extents, concatenated; from the file (method 0) or its idat box (method 1). Null for other methods and for extents outside of it."""
-    extents = table(contents, "extents").withColumnRenamed("length", "size")
-    idat = table(contents, "boxes").where("type = 'idat'").groupBy("path").agg(F.min(F.col("offset") + F.col("header_size")).alias("idat"))
-    rows = extents.join(contents.select("path", "content", "length"), "path").join(idat, "path", "left")
-    rows = rows.withColumn("start", F.when(F.col("method") == 0, F.col("offset")).when(F.col("method") == 1, F.col("offset") + F.col("idat")))
-    # A size of 0 means to the end of the file.
-    rows = rows.withColumn("size", F.when(F.col("size") == 0, F.col("length") - F.col("start")).otherwise(F.col("size")))
-    inside = (F.col("start") >= 0) & (F.col("size") >= 0) & (F.col("start") + F.col("size") <= F.col("length"))
-    part = F.when(inside, F.substring("content", (F.col("start") + 1).cast("int"), F.col("size").cast("int")))
-    parts = rows.select("path", "item_id", F.struct("ord", part.alias("part")).alias("p"))
-    joined = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(b""), lambda a, p: F.concat(a, p["part"]))
-    return parts.groupBy("path", "item_id").agg(joined.alias("data"))
+    """(path, item_id, data): each item's extents, concatenated (see item_values); null where they can't be read, no rows for a file whose places are broken. Files are cut where they are read: no content is shuffled."""
+    _prepare(contents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    got = list(item_values(content.as_py() or b""))
+                except (ValueError, struct.error):
+                    got = []
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(got), pa.string()), pa.array([i for i, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], ["path", "item_id", "data"])
+
+    return contents.select("path", "content").mapInArrow(run, "path string, item_id long, data binary")
 
 
 def inflated(rows: DataFrame, data: str, method: str) -> DataFrame:
@@ -400,6 +451,7 @@ class Item:
     hidden: bool = False
     properties: list[tuple[str, bytes, bool]] = field(default_factory=list)
     refs: list[tuple[str, list[int]]] = field(default_factory=list)
+    groups: list[tuple[str, int]] = field(default_factory=list)
 
 
 def container(items: list[Item], major: str = "mif1", brands: tuple[str, ...] = ("mif1", "heic"), primary: int | None = None) -> bytes:
@@ -415,6 +467,11 @@ def container(items: list[Item], major: str = "mif1", brands: tuple[str, ...] =
         links.append(struct.pack(">IB", it.id, len(own)) + b"".join(struct.pack(">H", v) for v in own))
     infe = [full_box("infe", 3, int(it.hidden), struct.pack(">IH", it.id, 0), it.type.encode("latin-1"), it.name.encode() + b"\0") for it in items]
     refs = [box(kind, struct.pack(">IH", it.id, len(to)), *(struct.pack(">I", x) for x in to)) for it in items for kind, to in it.refs]
+    members: dict[tuple[str, int], list[int]] = {}
+    for it in items:
+        for g in it.groups:
+            members.setdefault(g, []).append(it.id)
+    groups = [full_box(kind, 0, 0, struct.pack(">II", n, len(own)), *(struct.pack(">I", x) for x in own)) for (kind, n), own in members.items()]
     start = box("ftyp", major.encode(), bytes(4), *(b.encode() for b in brands))
 
     def meta(base: int) -> bytes:
@@ -430,6 +487,7 @@ def container(items: list[Item], major: str = "mif1", brands: tuple[str, ...] =
             full_box("iloc", 2, 0, struct.pack(">HI", 0x8800, len(items)), *places),
             box("iprp", box("ipco", *(box(k, p) for k, p in store)), full_box("ipma", 1, 1, struct.pack(">I", len(links)), *links)),
             full_box("iref", 1, 0, *refs),
+            *([box("grpl", *groups)] if groups else []),
         )
 
     # Offsets have a fixed width, so the length of meta doesn't depend on them.
@@ -437,16 +495,75 @@ def container(items: list[Item], major: str = "mif1", brands: tuple[str, ...] =
     return start + meta(first) + box("mdat", *(it.data for it in items))
 
 
+#: Columns that items of containers() may have beside path, item_id, type, name and data.
+OPTIONAL = {
+    "hidden": "boolean",
+    "is_primary": "boolean",
+    "properties": "array<struct<type: string, payload: binary, essential: boolean>>",
+    "refs": "array<struct<type: string, to: array<bigint>>>",
+    "groups": "array<struct<type: string, group_id: bigint>>",
+}
+
+
 def containers(items: DataFrame) -> DataFrame:
-    """(path, content): files from items (path, item_id, type, name, data), one task's rows of a file at a time."""
+    """(path, content): files from items (path, item_id, type, name, data) and any of OPTIONAL, in the order of item_id.
+
+    A file's items meet in one task, as a file is one value; the item marked
+    primary that comes first is the primary one, else the first item.
+    """
     ship(items.sparkSession)
-    one = F.collect_list(F.struct("item_id", "type", "name", "data"))
-    rows = items.groupBy("path").agg(F.array_sort(one).alias("items"))
+    cols = [F.col(c) if c in items.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPTIONAL.items()]
+    one = F.collect_list(F.struct("item_id", "type", "name", "data", *cols))
+    rows = items.groupBy("path").agg(F.sort_array(one).alias("items"))
+
+    def item(x: dict) -> Item:
+        properties = [(p["type"], p["payload"] or b"", bool(p["essential"])) for p in x["properties"] or []]
+        refs, groups = [(r["type"], r["to"]) for r in x["refs"] or []], [(g["type"], g["group_id"]) for g in x["groups"] or []]
+        return Item(x["item_id"], x["type"], x["data"] or b"", x["name"] or "", bool(x["hidden"]), properties, refs, groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = own.as_py()
+                content = container([item(x) for x in own], primary=next((x["item_id"] for x in own if x["is_primary"]), None))
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def track(track_id: int, timescale: int, durations: list[int], sizes: list[int], handler: str = "pict") -> bytes:
+    """A trak box of samples that lie in one chunk at the file's start: run lengths of durations, sizes, every sample a sync sample."""
+    runs: list[list[int]] = []
+    for d in durations:
+        if runs and runs[-1][1] == d:
+            runs[-1][0] += 1
+        else:
+            runs.append([1, d])
+    u = lambda *v: struct.pack(f">{len(v)}I", *v)
+    table = box(
+        "stbl",
+        full_box("stts", 0, 0, u(len(runs)), *(u(*r) for r in runs)),
+        full_box("stsc", 0, 0, u(1, 1, len(sizes), 1) if sizes else u(0)),
+        full_box("stsz", 0, 0, u(0, len(sizes), *sizes)),
+        full_box("stco", 0, 0, u(1, 0) if sizes else u(0)),
+    )
+    media = box("mdia", full_box("mdhd", 0, 0, u(0, 0, timescale, sum(durations)), bytes(4)), full_box("hdlr", 0, 0, bytes(4), handler.encode(), bytes(13)), box("minf", table))
+    return box("trak", full_box("tkhd", 0, 3, u(0, 0, track_id, 0, sum(durations)), bytes(60)), media)
+
+
+def movies(samples: DataFrame) -> DataFrame:
+    """(path, content): header files of tracks from samples (path, track_id, timescale, ord, duration, size). A file's samples meet in one task."""
+    ship(samples.sparkSession)
+    rows = samples.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("track_id", "timescale", "ord", "duration", "size"))).alias("samples"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [container([Item(x["item_id"], x["type"], x["data"] or b"", x["name"] or "") for x in own]) for own in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+            for path, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                tracks: dict[tuple[int, int], list[dict]] = {}
+                for x in own.as_py():
+                    tracks.setdefault((x["track_id"], x["timescale"]), []).append(x)
+                content = box("ftyp", b"msf1", bytes(4), b"msf1") + box("moov", *(track(t, scale, [x["duration"] for x in s], [x["size"] for x in s]) for (t, scale), s in tracks.items()))
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.binary())], ["path", "content"])
 
     return rows.mapInArrow(run, "path string, content binary")
 

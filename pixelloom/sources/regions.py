@@ -23,12 +23,12 @@ REGION_SCHEMA = "reference_w long, reference_h long, ord int, kind string, x lon
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """Rows of REGION_SCHEMA; w and h are the radii of an ellipse. ValueError for broken or unsupported data."""
+    """Rows of REGION_SCHEMA; w and h are the radii of an ellipse, unknown geometries are left out. ValueError for broken or unsupported data, after the rows before it."""
 
     def take(n: int) -> bytes:
         nonlocal at
         if at + n > len(data):
-            raise ValueError("region data incomplete")
+            raise ValueError(f"a region's fields end beyond byte {len(data)}")
         at += n
         return data[at - n : at]
 
@@ -39,7 +39,7 @@ def parse(data: bytes) -> Iterator[tuple]:
     for n in range(take(1)[0]):
         code = take(1)[0]
         if code >= len(KINDS):
-            raise ValueError(f"unknown geometry {code}")
+            continue  # its number is all that is known of it
         kind, values, points, mask = KINDS[code], [None] * 4, None, None
         if kind in _FIELDS:
             signed, unsigned = _FIELDS[kind]
@@ -78,7 +78,7 @@ def compose(reference_w: int, reference_h: int, regions: list[dict]) -> bytes:
 
 
 def regions(items: DataFrame, key: str, data: str = "data") -> DataFrame:
-    """(key, ..REGION_SCHEMA, error) of region items; a broken item is one row with an error."""
+    """(key, ..REGION_SCHEMA, error) of region items; a broken item gives the rows before the break and one with an error."""
     ship(items.sparkSession)
     names = [c.split(" ")[0] for c in REGION_SCHEMA.split(", ") if not c.startswith("y: ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])), pa.binary()]
@@ -87,10 +87,12 @@ def regions(items: DataFrame, key: str, data: str = "data") -> DataFrame:
         for b in batches:
             take, rows = [], []
             for i, d in enumerate(b.column(1).to_pylist()):
+                got = []
                 try:
-                    got = [(*r, None) for r in parse(d or b"")]
+                    for r in parse(d or b""):
+                        got.append((*r, None))
                 except ValueError as e:
-                    got = [(*[None] * len(kinds), str(e))]
+                    got.append((*[None] * len(kinds), str(e)))
                 take += [i] * len(got)
                 rows += got
             cols = list(zip(*rows, strict=True)) or [[]] * (len(kinds) + 1)
@@ -99,35 +101,57 @@ def regions(items: DataFrame, key: str, data: str = "data") -> DataFrame:
     return items.select(key, data).mapInArrow(run, f"`{key}` {items.schema[key].dataType.simpleString()}, {REGION_SCHEMA}, error string")
 
 
+def region_items(rows: DataFrame, key: str) -> DataFrame:
+    """(key, data): the payloads of regions (key, ..REGION_SCHEMA), in the order of ord; null where a value has no place in the format. An item's regions, 255 at most, meet in one task."""
+    ship(rows.sparkSession)
+    names = ["ord", "reference_w", "reference_h", "kind", "x", "y", "w", "h", "points", "mask"]
+    one = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("regions"))
+
+    def payload(own: list[dict]) -> bytes | None:
+        try:
+            return compose(own[0]["reference_w"], own[0]["reference_h"], own)
+        except (ValueError, TypeError, OverflowError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([payload(x.as_py()) for x in b.column(1)], pa.binary())], [key, "data"])
+
+    return one.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, data binary")
+
+
 # --- EXIF ----------------------------------------------------------------
 
 # Tag numbers.
 ORIENTATION, EXIF_DIRECTORY = 0x0112, 0x8769
-#: Directories that a search passes through at most.
-MAX_DIRECTORIES = 5
+#: Bytes of an entry.
+_ENTRY = 12
 
 
 def find_tag(exif: bytes, tag: int) -> tuple[int, str] | None:
-    """(position of the tag's entry, struct prefix of the byte order) in a TIFF structure, or None."""
-    order = {b"II": "<", b"MM": ">"}.get(exif[:2])
+    """(position of the tag's entry, struct prefix of the byte order) in a TIFF structure, or None.
+
+    Directories are visited once each: the first, its sub-directories, then
+    those that follow; entries beyond the data are left out.
+    """
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(exif[:4])
     if order is None or len(exif) < 8:
         return None
-    todo = [(struct.unpack_from(order + "I", exif, 4)[0], 1)]
+    todo, seen = [struct.unpack_from(order + "I", exif, 4)[0]], set()
     while todo:
-        at, depth = todo.pop()
-        if not at or depth > MAX_DIRECTORIES or at + 2 > len(exif):
+        at = todo.pop(0)
+        if at in seen or not 8 <= at <= len(exif) - 2:
             continue
-        n = struct.unpack_from(order + "H", exif, at)[0]
-        if at + 2 + 12 * n + 4 > len(exif):
-            continue
-        todo.append((struct.unpack_from(order + "I", exif, at + 2 + 12 * n)[0], depth + 1))
-        for k in range(n):
-            entry = at + 2 + 12 * k
-            number = struct.unpack_from(order + "H", exif, entry)[0]
-            if number == tag:
-                return entry, order
-            if number == EXIF_DIRECTORY:
-                todo.append((struct.unpack_from(order + "I", exif, entry + 8)[0], depth + 1))
+        seen.add(at)
+        count = struct.unpack_from(order + "H", exif, at)[0]
+        entries = [e for e in range(at + 2, at + 2 + _ENTRY * count, _ENTRY) if e + _ENTRY <= len(exif)]
+        numbers = [struct.unpack_from(order + "H", exif, e)[0] for e in entries]
+        if tag in numbers:
+            return entries[numbers.index(tag)], order
+        todo[:0] = [struct.unpack_from(order + "I", exif, e + 8)[0] for e, n in zip(entries, numbers, strict=True) if n == EXIF_DIRECTORY]
+        after = at + 2 + _ENTRY * count
+        if after + 4 <= len(exif):
+            todo.append(struct.unpack_from(order + "I", exif, after)[0])
     return None
 
 
@@ -147,6 +171,21 @@ def with_orientation(exif: bytes, value: int) -> bytes:
     return exif[:at] + struct.pack(found[1] + "H", value) + exif[at + 2 :]
 
 
+def orientations(rows: DataFrame, key: str, exif: str, wanted: str | None = None) -> DataFrame:
+    """(key, orientation, patched): the orientation of EXIF data, and the data with the one in the column `wanted` (as they are without it or where it is null); null data have orientation 1."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [x or b"" for x in b.column(1).to_pylist()]
+            values = b.column(2).to_pylist()
+            new = [x if v is None else with_orientation(x, v) for x, v in zip(data, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([orientation(x) for x in data], pa.int32()), pa.array(new, pa.binary())], [key, "orientation", "patched"])
+
+    value = F.col(wanted).cast("int") if wanted else F.lit(None).cast("int")
+    return rows.select(key, exif, value.alias("__wanted")).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, orientation int, patched binary")
+
+
 # --- text ----------------------------------------------------------------
 
 

@@ -112,10 +112,18 @@ def test_inflate(spark):
     assert {r.k: r.data and bytes(r.data) for r in isobmff.inflated(df, "data", "how").collect()} == {1: b"abc", 2: b"abc", 3: b"x", 4: None, 5: None}
 
 
+BLOCKS = [
+    uncompressed.Layout(5, 3, (10, 12), "component", block_size=2),
+    uncompressed.Layout(5, 3, (14,), "component", block_size=2, pad_lsb=True, block_little_endian=True, row_align=4),
+    uncompressed.Layout(6, 4, (5, 6, 5), "pixel", "none", 3, 2, pixel_size=2),
+    uncompressed.Layout(5, 3, (10, 10, 10), "pixel", pixel_size=4, block_size=4, pad_lsb=True, block_little_endian=True, block_reversed=True),
+    uncompressed.Layout(5, 3, (8, 8, 8), "pixel", pixel_size=4, row_align=16, block_reversed=True),
+    uncompressed.Layout(5, 3, (16, 16, 16), "pixel", pixel_size=8, pad_lsb=True),
+]
 LAYOUTS = [uncompressed.Layout(6, 4, d, i, s, *t) for d, (i, s), t in itertools.product([(8, 8, 8), (5, 6, 5), (7, 7, 7), (10, 10, 10), (16, 16, 16)], [("component", "none"), ("pixel", "none"), ("row", "none"), ("mixed", "420"), ("mixed", "422"), ("component", "420"), ("tile_component", "none")], [(1, 1), (3, 2)])]
 
 
-@pytest.mark.parametrize("layout", [*LAYOUTS, uncompressed.Layout(5, 3, (8, 8), row_align=4), uncompressed.Layout(4, 2, (32,), kinds=("f",)), uncompressed.Layout(4, 2, (64,), kinds=("c",)), uncompressed.Layout(4, 2, (16, 16), little_endian=True), uncompressed.Layout(4, 2, (32,), kinds=("i",))])
+@pytest.mark.parametrize("layout", [*LAYOUTS, *BLOCKS, uncompressed.Layout(5, 3, (8, 8), row_align=4), uncompressed.Layout(4, 2, (32,), kinds=("f",)), uncompressed.Layout(4, 2, (64,), kinds=("c",)), uncompressed.Layout(4, 2, (16, 16), little_endian=True), uncompressed.Layout(4, 2, (32,), kinds=("i",))])
 def test_uncompressed_round_trip(layout):
     tw, th = layout.width // layout.tile_cols, layout.height // layout.tile_rows
     if layout.sampling != "none" and layout.tile_cols > 1:
@@ -131,6 +139,25 @@ def test_uncompressed_round_trip(layout):
     assert all((a == b[: a.shape[0], : a.shape[1]]).all() for a, b in zip(got, planes, strict=True))
 
 
+def test_words_golden(spark):
+    one = lambda data, *a, **k: [p.item() for p in uncompressed.decode(uncompressed.Layout(1, 1, *a, **k), data)]
+    word = 1 << 20 | 2 << 10 | 3
+    assert one(word.to_bytes(4, "big"), (10, 10, 10), "pixel", pixel_size=4) == [1, 2, 3]
+    assert one(word.to_bytes(4, "little"), (10, 10, 10), "pixel", pixel_size=4, block_little_endian=True, block_reversed=True) == [3, 2, 1]
+    assert one((word << 2).to_bytes(4, "big"), (10, 10, 10), "pixel", pixel_size=4, pad_lsb=True) == [3, 2, 1]
+    assert one((word << 2).to_bytes(4, "big"), (10, 10, 10), "pixel", pixel_size=4, pad_lsb=True, block_reversed=True) == [1, 2, 3]
+    assert one(b"\x0a\xbc", (12,), "component", block_size=2) == [0xABC] == one(b"\xab\xc0", (12,), "component", block_size=2, pad_lsb=True) == one(b"\xbc\x0a", (12,), "component", block_size=2, block_little_endian=True)
+    for bad in ({"interleave": "component", "block_size": 4}, {"interleave": "pixel", "pixel_size": 2, "block_size": 4}, {"interleave": "row", "block_size": 2}, {"interleave": "pixel", "pixel_size": 9}):
+        with pytest.raises(ValueError):
+            uncompressed.Layout(1, 1, (10,), **bad)
+    layout = BLOCKS[2]
+    planes = [[(7 * i + c) % (1 << d) for i in range(24)] for c, d in enumerate(layout.depths)]
+    data = uncompressed.encoded(spark.createDataFrame([(1, planes), (2, planes[:2]), (3, None)], "id long, planes array<array<bigint>>"), layout, "id")
+    got = uncompressed.decoded(data, layout, "id").collect()
+    assert [(r.component, r.width, r.height, r.plane) for r in got if r.id == 1] == [(c, 6, 4, p) for c, p in enumerate(planes)]
+    assert [r.error for r in got if r.id > 1] == ["end of data"] * 2
+
+
 def test_uncompressed_golden_and_errors():
     rgb565 = uncompressed.Layout(1, 1, (5, 6, 5), "pixel")
     assert [p.item() for p in uncompressed.decode(rgb565, bytes([0b00001000, 0b11101101]))] == [1, 7, 13]
@@ -216,7 +243,8 @@ def test_regions_round_trip(spark, shift):
     own = [{**r, **({"x": r["x"] + shift} if "x" in r else {})} for r in REGIONS]
     data = regions.compose(1280, 1024, own)
     assert data[1] == (shift > 0)
-    df = spark.createDataFrame([(1, data), (2, data[:-1]), (3, None)], "item long, data binary")
+    unknown = data[:2] + data[2:].replace(b"\x07", b"\x08\xff", 1)
+    df = spark.createDataFrame([(1, data), (2, data[:-1]), (3, None), (4, unknown)], "item long, data binary")
     got = regions.regions(df, "item").collect()
     good = [r for r in got if r.item == 1]
     for r, want in zip(good, own, strict=True):
@@ -224,7 +252,12 @@ def test_regions_round_trip(spark, shift):
         assert [r.x, r.y, r.w, r.h] == [want.get(k) for k in "xywh"]
         assert [p.asDict() for p in r.points or []] == want.get("points", [])
         assert (bytes(r.mask) if r.mask else None) == want.get("mask")
-    assert [r.error for r in got if r.item != 1] == ["region data incomplete"] * 2
+    assert [r.error is None for r in got if r.item == 2] == [True] * 6 + [False] and [r.error is None for r in got if r.item == 3] == [False]
+    assert [r.kind for r in got if r.item == 4] == [r["kind"] for r in own]
+    rows = [(1, n, 1280, 1024, r["kind"], *(r.get(k) for k in "xywh"), [(p["x"], p["y"]) for p in r["points"]] if "points" in r else None, r.get("mask")) for n, r in enumerate(own)]
+    schema = "item long, ord int, reference_w long, reference_h long, kind string, x long, y long, w long, h long, points array<struct<x: long, y: long>>, mask binary"
+    back = regions.region_items(spark.createDataFrame([*rows, (2, 0, -1, 0, "point", 1, 1, None, None, None, None)], schema), "item").collect()
+    assert {r.item: r.data and bytes(r.data) for r in back} == {1: data, 2: None}
 
 
 def test_exif_orientation():
@@ -241,6 +274,18 @@ def test_exif_orientation():
     assert regions.orientation(b"") == 1 and regions.with_orientation(b"xx", 3) == b"xx"
 
 
+def test_exif_directories_that_follow_or_repeat(spark):
+    from pixelloom.sources import regions
+
+    d = lambda n, entries, after: struct.pack("<H", n) + entries + struct.pack("<I", after)
+    entry = lambda tag, v: struct.pack("<HHIHH", tag, 3, 1, v, 0)
+    chain = b"II*\0" + struct.pack("<I", 8) + d(0, b"", 14) + d(1, entry(1, 2), 32) + d(1, entry(regions.ORIENTATION, 8), 8)
+    broken = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 500) + entry(regions.ORIENTATION, 5)
+    df = spark.createDataFrame([(1, chain, 3), (2, broken, 9), (3, None, 2), (4, b"none", None)], "id long, exif binary, want int")
+    got = {r.id: (r.orientation, regions.orientation(bytes(r.patched))) for r in regions.orientations(df, "id", "exif", "want").collect()}
+    assert got == {1: (8, 3), 2: (5, 1), 3: (1, 1), 4: (1, 1)}
+
+
 def test_cues_and_listing(spark, contents, tmp_path):
     from pixelloom.sources import regions
 
