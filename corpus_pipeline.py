@@ -24,22 +24,35 @@ MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.5
 BROADCAST_IDS = 1_000_000
 
 
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with its own columns of these names put aside, for an operator that adds such columns."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c.lower() in names})
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the columns of docs, those that were put aside among them."""
+    return rows.select(*[F.col(f"`__own_{c}`").alias(c) if f"__own_{c}" in rows.columns else F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the quality classifier scores below MIN_QUALITY. Null and empty texts are scored too, as the empty text; a null id is never learned from; without labels all have 0.5 and stay."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    return back(quality.score(aside(docs, "score"), net).where(F.col("score") >= MIN_QUALITY), docs)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, null texts among them, and those whose language is unclear; a null lang becomes the predicted one. Without any lang to learn from nothing can be told, and all are rejected."""
-    got = langid.predict(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE))
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Rejects documents without a letter, null texts among them, and those whose language is unclear; a null lang becomes the predicted one. Without any lang to learn from nothing can be told, and all stay."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    got = langid.predict(aside(docs, "lang_pred", "score"), model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE))
+    return back(got.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops each source's boilerplate lines; whole copies stay for the next stage, and n_chars follows the text. Null sources are one source; null texts and ids stay."""
-    got = line_dedup.drop_boilerplate(docs, "source", "text", min_pages=5, spare_copies=True)
-    return got.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    got = line_dedup.drop_boilerplate(aside(docs, "n_dropped"), "source", "text", min_pages=5, spare_copies=True)
+    return back(got.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
