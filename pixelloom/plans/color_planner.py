@@ -2,7 +2,7 @@
 
 States are what an image is stored as, edges are conversions with a cost.
 The search runs on the driver over a few dozen states before any data is
-touched; its result is a list of steps, each of which is a projection.
+touched; plans.color_pipeline runs its result, a list of steps.
 """
 
 from __future__ import annotations
@@ -56,17 +56,17 @@ def _to_rgb(s: State, t: State) -> Iterator[State]:
 
 
 def _420_to_rgb24(s: State, t: State) -> Iterator[State]:
-    if (s.colorspace, s.chroma, s.bits, s.full_range, s.alpha) == ("ycbcr", "420", 8, True, False) and s.matrix not in (0, 8, 11, 14, 16):
+    if (s.colorspace, s.chroma, s.bits, s.full_range, s.alpha) == ("ycbcr", "420", 8, True, False) and s.matrix not in (0, 8, 11, 14):
         yield _rgb(s, "rgb24")
 
 
 def _420_to_rgb32(s: State, t: State) -> Iterator[State]:
-    if (s.colorspace, s.chroma, s.bits, s.full_range, s.alpha, s.alpha_bits) == ("ycbcr", "420", 8, True, True, 8) and s.matrix not in (0, 8, 11, 14, 16):
+    if (s.colorspace, s.chroma, s.bits, s.full_range, s.alpha, s.alpha_bits) == ("ycbcr", "420", 8, True, True, 8) and s.matrix not in (0, 8, 11, 14):
         yield _rgb(s, "rgb32")
 
 
 def _420_to_rrggbb(s: State, t: State) -> Iterator[State]:
-    if (s.colorspace, s.chroma, s.full_range) == ("ycbcr", "420", True) and s.bits > 8 and s.matrix not in (0, 8, 11, 14, 16):
+    if (s.colorspace, s.chroma, s.full_range) == ("ycbcr", "420", True) and s.bits > 8 and s.matrix not in (0, 8, 11, 14):
         for order in ("rrggbb_le", "rrggbb_be"):
             yield _rgb(s, order)
 

@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,62 @@ def test_stored_tile_follows_the_pixels(spark):
         for y, x in itertools.product(range(h), range(w)):
             t = ev(spark, px.stored_tile(F.lit(x), F.lit(y), F.lit(w), F.lit(h), props))
             assert shown[y * w + x] == t.y * 3 + t.x
+
+
+def test_pipeline_kernels_equal_column_functions(spark):
+    """Every matrix and range, on planes of full size, against the expressions that SQL has checked."""
+    from pixelloom.plans import color_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    p = {c: rng.integers(0, 256, (5, 7)) for c in ("Y", "Cb", "Cr")}
+    cols = [F.array(*[F.lit(int(v)) for v in p[c].ravel()]) for c in ("Y", "Cb", "Cr")]
+    for matrix, full in ((0, True), (0, False), (1, True), (1, False), (6, True), (8, True), (9, False)):
+        s = State("ycbcr", "444", matrix=matrix, full_range=full)
+        got = cp.KERNELS["ycbcr_to_rgb"](p, s, s)
+        want = spark.range(1).select(color.ycbcr_to_rgb(*cols, matrix, full).alias("x")).first().x
+        assert [tuple(got[c].ravel()[i] for c in "RGB") for i in range(35)] == [tuple(v) for v in want]
+        rgb = dict(zip("RGB", p.values(), strict=True))
+        got = cp.KERNELS["rgb_to_ycbcr"](rgb, State("rgb", "planar"), s)
+        want = spark.range(1).select(color.rgb_to_ycbcr(*cols, matrix, full).alias("x")).first().x
+        assert [tuple(got[c].ravel()[i] for c in ("Y", "Cb", "Cr")) for i in range(35)] == [tuple(v) for v in want]
+
+
+def test_pipelines_run_from_every_state(spark):
+    from pixelloom.plans import color_pipeline as cp
+
+    rng = np.random.default_rng(4)
+    states = [State("mono", "mono"), State("mono", "mono", alpha=True), *(State("ycbcr", c, alpha=a, bits=b, alpha_bits=b if a else 8) for c in ("420", "422", "444") for a in (False, True) for b in (8, 10)), State("rgb", "planar"), State("rgb", "planar", alpha=True, bits=12, alpha_bits=12), State("rgb", "rgb24"), State("rgb", "rgb32", alpha=True), State("rgb", "rrggbb_be", bits=10), State("rgb", "rrggbb_le", bits=10), State("bayer", "filter_array")]
+    targets = [State("rgb", "rgb24"), State("rgb", "planar"), State("ycbcr", "420"), State("ycbcr", "444"), State("ycbcr", "422", full_range=False)]
+    ran = set()
+    for s in states:
+        for t in targets:
+            if (found := plan(s, t)) is None:
+                continue
+            w, h = 7, 5
+            names = cp.channels(s)
+            p = {n: rng.integers(0, 1 << s.bits, cp.size_of(s, n, w, h)[::-1]) for n in names}
+            out = cp.run(p, s, found[1])
+            assert list(out) == cp.channels(t) and all(out[n].shape == cp.size_of(t, n, w, h)[::-1] and out[n].min() >= 0 and out[n].max() < 1 << t.bits for n in out)
+            ran |= {n for n, _ in found[1]}
+    assert len(ran) >= 14
+    for w, h in ((4, 4), (7, 5), (1, 1), (2, 3)):
+        c = rng.integers(0, 256, (-(-h // 2), -(-w // 2)))
+        want = ev(spark, px.bilinear_420(arr(*map(int, c.ravel())), w, h))
+        assert cp._bilinear(c, State("ycbcr", "420"), np.zeros((h, w))).ravel().tolist() == want
+
+
+def test_pipelines_keep_to_a_chroma_algorithm(spark):
+    from pixelloom.plans import color_pipeline as cp
+
+    s, t = State("ycbcr", "420"), State("rgb", "rgb24")
+    names = lambda steps: [n for n, _ in plan(s, t, steps)[1]]
+    assert names(cp.STEPS) == ["ycbcr420_to_rgb24"] == names(cp.allowed(cp.STEPS, "nearest"))
+    assert names(cp.allowed(cp.STEPS, "bilinear")) == ["bilinear_420_to_444", "ycbcr_to_rgb", "rgb_to_rgb24"]
+    grey = np.full((3, 5), 77)
+    got = cp.run({"Y": grey, "Cb": np.full((2, 3), 128), "Cr": np.full((2, 3), 128)}, s, plan(s, t, cp.allowed(cp.STEPS, "bilinear"))[1])
+    assert (got["packed"] == 77).all()
+    rows = spark.createDataFrame([(1, 2, 1, [b"\x01\x02"]), (2, 3, 1, [b"\x01"]), (3, None, 1, None), (4, 0, 0, [b""])], "id long, width int, height int, planes array<binary>")
+    out = {r.id: (r.planes and [bytes(x) for x in r.planes], r.error is None) for r in cp.converted(rows, State("mono", "mono"), t, "id").collect()}
+    assert out == {1: ([b"\x01\x01\x01\x02\x02\x02"], True), 2: (None, False), 3: (None, False), 4: ([b""], True)}
+    with pytest.raises(ValueError):
+        cp.converted(rows, State("ycbcr", "444", matrix=11), t, "id")
