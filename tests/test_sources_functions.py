@@ -294,3 +294,21 @@ def test_cues_and_listing(spark, contents, tmp_path):
     assert got == [(0, 1500, 2000, b"abcdef"), (1, 3_600_000, 3_600_250, None)]
     lines = [r.text for r in regions.listing(isobmff.table(contents, "boxes")).where(F.col("path").endswith("a.heic")).orderBy("line").collect()]
     assert lines[0].startswith("Box: ftyp -----  size: ") and any(x.startswith("| | Box: ispe") or x.startswith("| | | Box: ispe") for x in lines)
+
+
+@pytest.mark.parametrize("layout", [*LAYOUTS[::5], *BLOCKS])
+def test_layout_property_round_trip(layout):
+    from pixelloom.operators import derived
+
+    full = uncompressed.Layout(**{**layout.__dict__, "kinds": layout.kinds or ("u",) * len(layout.depths)})
+    assert derived.layout_of(derived.layout_payload(layout), layout.width, layout.height) == full
+
+
+def test_layout_property_errors():
+    from pixelloom.operators import derived
+
+    assert derived.layout_of(bytes([1, 0, 0, 0]) + b"rgba", 4, 4).depths == (8, 8, 8, 8)
+    good = derived.layout_payload(uncompressed.Layout(4, 4, (8,)))
+    for bad in (bytes([1, 0, 0, 0]) + b"none", bytes([2]) + good[1:], good[:8] + bytes(4) + good[12:], good[:17] + b"\x07" + good[18:]):
+        with pytest.raises(ValueError):
+            derived.layout_of(bad, 4, 4)
