@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelloom.operators.metadata import DERIVED
+from pixelloom.operators.metadata import DERIVED, IMAGES
 from pixelloom.plans.limits import LIMITS
 from pixelloom.sources import isobmff
 from pixelloom.sources.uncompressed import Layout, decode
@@ -221,7 +221,7 @@ def pictures(contents: DataFrame, decoders: Mapping[str, Callable[[bytes, list[t
     def rows(data: bytes) -> Iterator[tuple]:
         file = _File(data, own)
         for item, kind in file.types.items():
-            if kind in isobmff.IMAGE_TYPES:
+            if kind in IMAGES:
                 try:
                     planes = file.picture(item)
                     yield item, kind, planes[0].shape[1], planes[0].shape[0], [np.ascontiguousarray(p, p.dtype.newbyteorder("<")).tobytes() for p in planes], None

@@ -17,6 +17,8 @@ from pixelloom.session import ship
 # Property and reference types with a meaning.
 TRANSFORMATIVE = ("imir", "irot", "clap")
 DERIVED, THUMBNAIL, AUXILIARY, DESCRIBES = "dimg", "thmb", "auxl", "cdsc"
+# Item types that are images.
+IMAGES = ("hvc1", "av01", "grid", "tili", "iden", "iovl", "avc1", "unci", "vvc1", "jpeg", "j2k1", "mski")
 
 
 def properties_in_order(links: DataFrame, properties: DataFrame, item: str, prop: str, order: str) -> DataFrame:
@@ -115,6 +117,50 @@ def thumbnail_size(w: Column, h: Column, box: int) -> tuple[Column, Column]:
     return even(tw), even(th)
 
 
+def referring(refs: DataFrame, file: list[str], source: str, kind: str, target: str) -> DataFrame:
+    """(file.., target, kind, sources): who refers to each target, in ascending order; references may repeat."""
+    return refs.groupBy(*file, target, kind).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+
+
+def metadata_blocks(items: DataFrame, refs: DataFrame, file: str, item: str, type_: str, source: str, kind: str, target: str, wanted: list[str] | None = None) -> DataFrame:
+    """(file, image, block, type): items that describe an image ('cdsc'), of the wanted types or all, once for each pair; a describing item that is itself an image is none."""
+    links = refs.where(F.col(kind) == DESCRIBES).select(file, F.col(source).alias("block"), F.col(target).alias("image")).distinct()
+    blocks = items.where(~F.col(type_).isin(*IMAGES)).select(file, F.col(item).alias("block"), F.col(type_).alias("type"))
+    blocks = blocks if wanted is None else blocks.where(F.col("type").isin(*wanted))
+    images = items.where(F.col(type_).isin(*IMAGES)).select(file, F.col(item).alias("image"))
+    return links.join(blocks, [file, "block"]).join(images, [file, "image"]).select(file, "image", "block", "type")
+
+
+def auxiliary_images(refs: DataFrame, roles: DataFrame, file: list[str], source: str, kind: str, target: str, role: str, without: list[str]) -> DataFrame:
+    """(file.., image, auxiliary, role): auxiliary images of each image but those of the roles in `without`; an image that has no role keeps null."""
+    links = refs.where(F.col(kind) == AUXILIARY).select(*file, F.col(source).alias("auxiliary"), F.col(target).alias("image")).distinct()
+    known = roles.select(*file, F.col(source).alias("auxiliary"), F.col(role).alias("role"))
+    return links.join(known, [*file, "auxiliary"], "left").where(~F.coalesce(F.col("role").isin(*without), F.lit(False))).select(*file, "image", "auxiliary", "role")
+
+
+def with_references(refs: DataFrame, new: DataFrame, file: list[str], source: str, kind: str, position: str, target: str) -> DataFrame:
+    """refs and new (file.., source, kind, target, order) behind what the same source refers to by the same type: positions go on from the last."""
+    last = refs.groupBy(*file, source, kind).agg(F.max(position).alias("__last"))
+    by = W.partitionBy(*file, source, kind).orderBy("order", target)
+    rows = new.join(last, [*file, source, kind], "left").withColumn(position, (F.coalesce(F.col("__last") + 1, F.lit(0)) + F.row_number().over(by) - 1).cast(refs.schema[position].dataType))
+    return refs.select(*file, source, kind, position, target).unionByName(rows.select(*file, source, kind, position, target))
+
+
+def alternatives(groups: DataFrame, primary: DataFrame, file: str, group: str, kind: str, order: str, entity: str, item: str) -> DataFrame:
+    """(file, ord, item): a file's primary item and those that may stand for it, from the first 'altr' group that holds it, in the group's order; the primary alone without one."""
+    own = groups.where(F.col(kind) == "altr").join(primary.select(file, F.col(item).alias(entity)), [file, entity])
+    first = own.groupBy(file).agg(F.min(group).alias(group))
+    found = groups.where(F.col(kind) == "altr").join(first, [file, group]).select(file, F.col(order).cast("int").alias("ord"), F.col(entity).alias("item"))
+    alone = primary.join(first, file, "left_anti").select(file, F.lit(0).alias("ord"), F.col(item).alias("item"))
+    return found.unionByName(alone)
+
+
+def tile_items(wanted: DataFrame, refs: DataFrame, grid: list[str], x: str, y: str, cols: str, position: str, target: str) -> DataFrame:
+    """wanted (grid.., x, y, cols) with the item of the tile there, by its position among the grid's references; null outside of the grid."""
+    at = F.when((F.col(x) >= 0) & (F.col(x) < F.col(cols)) & (F.col(y) >= 0), F.col(y) * F.col(cols) + F.col(x))
+    return wanted.withColumn("__at", at.cast("long")).join(refs.select(*grid, F.col(position).cast("long").alias("__at"), F.col(target).alias("tile")), [*grid, "__at"], "left").drop("__at")
+
+
 def walks(edges: DataFrame, file: str, source: str, target: str, position: str | None = None, flagged: DataFrame | None = None, node: str | None = None) -> DataFrame:
     """(file, start, cyclic, coded, flag): what walks from each source of each file come to, in time linear in the file's edges.
 

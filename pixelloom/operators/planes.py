@@ -332,3 +332,8 @@ def stored_tile(tx: Column, ty: Column, cols: Column, rows: Column, properties:
         )
 
     return F.aggregate(F.reverse(properties), start, undo, lambda t: F.struct(t["x"], t["y"]))
+
+
+def with_alpha(data: Column, w: Size, h: Size, alpha: Column, aw: Size, ah: Size) -> Column:
+    """array<struct<v, a>>: a plane with its alpha plane, scaled to the plane's size by the nearest sample."""
+    return F.zip_with(data, scale_nearest(alpha, aw, ah, w, h), lambda v, a: F.struct(v.alias("v"), a.alias("a")))

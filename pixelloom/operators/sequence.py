@@ -120,3 +120,34 @@ def paired_frames(colour: DataFrame, alpha: DataFrame, track: str, index: str, v
     """(track, index, colour, alpha): frames of two tracks by position; alpha is null where its track is shorter."""
     right = alpha.select(track, index, F.col(value).alias("alpha"))
     return colour.select(track, index, F.col(value).alias("colour")).join(right, [track, index], "left")
+
+
+def auxiliary_tables(sizes: DataFrame, offsets: DataFrame, track: str, kind: str, parameter: str, order: str) -> DataFrame:
+    """(track, kind, parameter, sizes, offsets, problem): each table of auxiliary sizes with the first table of offsets of its type and parameter.
+
+    sizes and offsets are the tables' places in `order`; problem is 'no
+    offsets' for a table of sizes without one, 'tables not in pairs' where a
+    track has other numbers of both, else null.
+    """
+    keys = [track, kind, parameter]
+    first = offsets.groupBy(*keys).agg(F.min(order).alias("offsets"))
+    n = sizes.groupBy(track).agg(F.count("*").alias("__n")).join(offsets.groupBy(track).agg(F.count("*").alias("__m")), track, "left")
+    rows = sizes.select(*keys, F.col(order).alias("sizes")).join(first, keys, "left").join(n, track)
+    problem = F.when(F.col("__n") != F.coalesce("__m", F.lit(0)), "tables not in pairs").when(F.col("offsets").isNull(), "no offsets")
+    return rows.select(*keys, "sizes", "offsets", problem.alias("problem"))
+
+
+def auxiliary_offsets(samples: DataFrame, chunks: DataFrame, track: str, chunk: str, index: str, size: str, offset: str) -> DataFrame:
+    """samples (track, chunk, index, size) with offset: where each one's auxiliary information lies.
+
+    chunks (track, chunk, offset) has one row for a track whose information
+    lies in one place, then sizes add up over all of the track's samples, else
+    one for each chunk, then over the chunk's; a sample whose chunk is missing
+    there has none.
+    """
+    single = chunks.groupBy(track).agg(F.count("*").alias("__n"), F.min(offset).alias("__base"))
+    rows = samples.join(single, track, "left").withColumn("__part", F.when(F.col("__n") == 1, F.lit(-1)).otherwise(F.col(chunk)))
+    rows = rows.withColumn("__before", F.coalesce(F.sum(size).over(W.partitionBy(track, "__part").orderBy(index).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(chunks.select(track, chunk, F.col(offset).alias("__own")), [track, chunk], "left")
+    base = F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.col("__own"))
+    return rows.withColumn("offset", (base + F.col("__before")).cast("long")).drop("__n", "__base", "__part", "__before", "__own")

@@ -128,6 +128,40 @@ def container_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "item_id", F.when((F.col("item_id") < last) | (F.octet_length("data") == 0) | F.col("data").isNull(), F.sha2("data", 256)).alias("digest"))
 
 
+@query(
+    "container_metadata_blocks",
+    f"""WITH {_ITEMS}, r AS (SELECT path, item_id AS block, type, unnest([item_id - 1, 1]) AS image FROM i WHERE doc_id % 5 = 4 AND item_id > 1)
+    SELECT DISTINCT r.path, image, block, r.type FROM r JOIN i ON i.path = r.path AND i.item_id = image WHERE i.type IN ('hvc1', 'av01', 'grid')""",
+)
+def container_metadata_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF blocks of images."""
+    content = files(spark, sf_dir)
+    return meta.metadata_blocks(isobmff.table(content, "items"), isobmff.table(content, "item_refs"), "path", "item_id", "type", "from_id", "type", "to_id", ["Exif"])
+
+
+@query(
+    "container_alternatives",
+    f"""WITH {_ITEMS}, p AS (SELECT path, coalesce(min(CASE WHEN wanted THEN item_id END), min(item_id)) AS main FROM i GROUP BY path),
+    g AS (SELECT path, 100 + doc_id % 4 AS gid, item_id, row_number() OVER (PARTITION BY path, doc_id % 4 ORDER BY item_id) - 1 AS ord FROM i WHERE doc_id % 2 = 1),
+    own AS (SELECT p.path, min(gid) AS gid FROM p JOIN g ON g.path = p.path AND g.item_id = main GROUP BY p.path)
+    SELECT path, CAST(ord AS INTEGER) AS ord, item_id AS item FROM g JOIN own USING (path, gid) UNION ALL SELECT path, 0, main FROM p WHERE path NOT IN (SELECT path FROM own)""",
+)
+def container_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = files(spark, sf_dir)
+    return meta.alternatives(isobmff.table(content, "entity_groups"), isobmff.table(content, "items").where("is_primary"), "path", "group_id", "type", "ord", "entity_id", "item_id")
+
+
+@query(
+    "container_tile_items",
+    f"WITH {_ITEMS} SELECT path, item_id AS from_id, CAST(x AS INTEGER) AS x, 0 AS y, CASE WHEN x = 0 THEN item_id - 1 WHEN x = 1 THEN 1 END AS tile FROM i, (SELECT unnest([-1, 0, 1, 2]) AS x) WHERE item_id > 1",
+)
+def container_tile_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items' references as a row of two tiles, asked for at four places."""
+    links = isobmff.table(files(spark, sf_dir), "item_refs").select("path", "from_id", "to_ord", "to_id")
+    wanted = links.select("path", "from_id").distinct().select("path", "from_id", F.explode(F.array(*map(F.lit, (-1, 0, 1, 2)))).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("cols"))
+    return meta.tile_items(wanted, links, ["path", "from_id"], "x", "y", "cols", "to_ord", "to_id").drop("cols")
+
+
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir).select(F.concat(F.lit("m"), F.floor(F.col("user_id") / 4)).alias("path"), F.col("user_id").alias("track_id"), F.lit(600).cast("long").alias("timescale"), F.col("sample_idx").alias("ord"), F.col("delta").alias("duration"), (F.col("event_id") % 1000).alias("size"))
     return isobmff.movies(rows)

@@ -136,6 +136,29 @@ def thumbnail_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", w.alias("tw"), h.alias("th"))
 
 
+@query("meta_referring", f"WITH {_REFS} SELECT dst, kind, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM refs GROUP BY dst, kind")
+def meta_referring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta.referring(refs(spark, sf_dir), [], "src", "kind", "dst").withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+
+
+@query("meta_auxiliary_images", f"WITH {_REFS} SELECT DISTINCT dst AS image, src AS auxiliary, c_mktsegment AS role FROM refs JOIN customer ON c_custkey = src WHERE kind = 'auxl' AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def meta_auxiliary_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), "c_mktsegment")
+    return meta.auxiliary_images(refs(spark, sf_dir), roles, [], "src", "kind", "dst", "c_mktsegment", ["BUILDING", "MACHINERY"])
+
+
+@query(
+    "meta_with_references",
+    """WITH l AS (SELECT l_orderkey AS file, l_returnflag AS kind, l_partkey AS target, l_linenumber % 2 = 0 AS late, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS place FROM lineitem)
+    SELECT file, kind, CAST(row_number() OVER (PARTITION BY file, kind ORDER BY late, place, target) - 1 AS INTEGER) AS pos, target FROM l""",
+)
+def meta_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even number are references that are added to those of odd number."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("target"), "l_linenumber", (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("order"))
+    old = meta.numbered(rows.where("l_linenumber % 2 = 1").withColumn("both", F.struct("file", "kind")), "both", ["order", "target"]).withColumn("pos", (F.col("id") - 1).cast("int"))
+    return meta.with_references(old, rows.where("l_linenumber % 2 = 0"), [], "file", "kind", "pos", "target").select("file", "kind", "pos", "target")
+
+
 #: Derivations: a file's nations come from its region (ids from 1000); of each twenty suppliers, a file, one in the middle of a chain may point ahead and close a loop.
 _EDGES = """
 edges AS (SELECT n_regionkey - 100 AS file, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey + 1000 AS BIGINT) AS b FROM nation

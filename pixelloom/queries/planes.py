@@ -183,3 +183,10 @@ def plane_overlay_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(-2).alias("x"), F.lit(3).alias("y"), F.col("m").alias("v"), F.transform("m", lambda x: 255 - x).alias("a")),
     )
     return long(rows, px.overlay_stack(px.filled(10, 9, 50), 10, 9, layers, 8, 8), 10)
+
+
+@query("plane_attach_alpha", f"WITH {P} SELECT vec_id, x, y, v, l[y // 2 * 8 + x // 2 + 1] AS a FROM p")
+def plane_attach_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alpha plane of half the size, the upper left quarter, brought to the size of its image."""
+    both = px.with_alpha(F.col("v"), 8, 8, px.crop(F.col("v"), 8, 0, 0, 3, 3), 4, 4)
+    return images(spark, sf_dir).select("vec_id", F.posexplode(both).alias("pos", "b")).select("vec_id", (F.col("pos") % 8).cast("int").alias("x"), px.div(F.col("pos"), 8).cast("int").alias("y"), "b.v", "b.a")

@@ -176,3 +176,29 @@ def seq_paired_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seq_chunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), (F.col("l_orderkey") % 50).alias("chunk"), F.col("l_linenumber").alias("track"), "l_orderkey", F.col("l_quantity").cast("long").alias("size"), (F.col("l_orderkey") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("ord"))
     return chunk_places(c, "file", "track", "chunk", ["ord", "size"], "size", 8).select("file", "chunk", "track", "l_orderkey", "ord", "offset")
+
+
+@query(
+    "seq_auxiliary_tables",
+    """WITH s AS (SELECT o_custkey AS track, left(o_orderpriority, 1) AS kind, o_orderkey % 3 AS parameter, o_orderkey AS place, o_orderstatus = 'F' AS sizes FROM orders),
+    n AS (SELECT track, count(*) FILTER (WHERE sizes) AS n, count(*) FILTER (WHERE NOT sizes) AS m FROM s GROUP BY track),
+    f AS (SELECT track, kind, parameter, min(place) AS offsets FROM s WHERE NOT sizes GROUP BY ALL)
+    SELECT track, kind, parameter, place AS sizes, offsets, CASE WHEN n <> m THEN 'tables not in pairs' WHEN offsets IS NULL THEN 'no offsets' END AS problem FROM s JOIN n USING (track) LEFT JOIN f USING (track, kind, parameter) WHERE sizes""",
+)
+def seq_auxiliary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), F.substring("o_orderpriority", 1, 1).alias("kind"), (F.col("o_orderkey") % 3).alias("parameter"), F.col("o_orderkey").alias("place"), "o_orderstatus")
+    return seq.auxiliary_tables(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'"), "track", "kind", "parameter", "place")
+
+
+@query(
+    "seq_auxiliary_offsets",
+    """WITH s AS (SELECT l_orderkey AS track, l_linenumber % 2 AS chunk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2, l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, CAST(l_quantity AS BIGINT) AS size FROM lineitem)
+    SELECT track, chunk, i, size, CAST(CASE WHEN track % 3 = 0 THEN 1000 + sum(size) OVER (PARTITION BY track ORDER BY i) - size WHEN track % 3 = 1 THEN 5000 * (chunk + 1) + sum(size) OVER (PARTITION BY track, chunk ORDER BY i) - size END AS BIGINT) AS offset FROM s""",
+)
+def seq_auxiliary_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third track's information lies in one place, others' by chunk, or nowhere."""
+    by = W.partitionBy("l_orderkey").orderBy(F.col("l_linenumber") % 2, "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), (F.col("l_linenumber") % 2).alias("chunk"), F.row_number().over(by).cast("long").alias("i"), F.col("l_quantity").cast("long").alias("size"))
+    tracks = rows.select("track").distinct()
+    chunks = tracks.where("track % 3 = 0").selectExpr("track", "0 AS chunk", "1000L AS offset").union(tracks.where("track % 3 = 1").selectExpr("track", "explode(array(0, 1)) AS chunk", "0L").selectExpr("track", "chunk", "5000L * (chunk + 1)"))
+    return seq.auxiliary_offsets(rows, chunks, "track", "chunk", "i", "size", "offset")

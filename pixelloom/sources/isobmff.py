@@ -18,14 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelloom.operators.metadata import IMAGES
 from pixelloom.plans.limits import LIMITS
 from pixelloom.session import ship
 
 # Boxes that hold boxes, and the bytes before the first of those.
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "dinf": 0, "iprp": 0, "ipco": 0, "meta": 4, "grpl": 0, "mvex": 0, "moof": 0, "traf": 0}
-# Item types that are images.
-IMAGE_TYPES = ("hvc1", "av01", "grid", "tili", "iden", "iovl", "avc1", "unci", "vvc1", "jpeg", "j2k1", "mski")
-
 #: Columns of each table; path comes first in all.
 TABLES = {
     "boxes": "box_id int, parent_id int, depth int, ord int, type string, uuid string, offset long, size long, header_size int, error string",
@@ -166,7 +164,7 @@ def _items(data: bytes, all_boxes: list[Box]) -> Iterator[tuple]:
                 kind = e.code() if v >= 2 else ""
                 name = e.text()
                 content = e.text() if kind in ("", "mime", "uri ") else None
-                yield item, kind, name, content, bool(flags & 1), item == primary, kind in IMAGE_TYPES
+                yield item, kind, name, content, bool(flags & 1), item == primary, kind in IMAGES
                 at += max(8, size)
 
 
