@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare, spans, written
+from pixelloom.llm.common import give_back, prepare, spans, written
 from pixelloom.llm.sampling import bounded_ids, held_out
 
 #: Labelled rows that the model is fitted on, at most.
@@ -188,6 +188,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             lang, score = scorer.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        del scorer
+        give_back()
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.mapInArrow(run, f"{cols}, lang_pred string, score double")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import block_pairs, broadcast_if_small, looked_up, prepare, written
+from pixelloom.llm.common import block_pairs, broadcast_if_small, give_back, looked_up, prepare, written
 from pixelloom.llm.components import components
 
 #: MinHash samples of an odd sketch, and its bits. Samples make the estimate precise, bits keep hits from cancelling
@@ -160,6 +160,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()), mask=pa.array(none))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(h[:, i], pa.int64(), mask=none) for i in (0, 1)), lists], ["id", "n_shingles", "h1", "h2", "keys"])
         _words.clear()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
@@ -177,6 +178,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingl
             sketches = pa.array([odd_sketch(samples.of(s)) if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(pa.array(h[:, i]) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], ["h1", "h2", "s", "sketch"])
         _words.clear()
+        give_back()
 
     got = rows.mapInArrow(run, "h1 long, h2 long, s binary, sketch array<long>").groupBy("h1", "h2").agg(F.first("s").alias("s"), F.first("sketch").alias("sketch"))
     return got.join(wanted.select("id", "h1", "h2"), ["h1", "h2"]).select("id", "s", "sketch")

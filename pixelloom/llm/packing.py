@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare, spans, written
+from pixelloom.llm.common import give_back, prepare, spans, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -206,6 +206,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
             lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), lists], ["row_key", "id", "source", "n", "ids"])
         c.forget()
+        give_back()
 
     return rows.mapInArrow(run, f"row_key long, id {kind}, source string, n long, ids binary")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import prepare
+from pixelloom.llm.common import give_back, prepare
 from pixelloom.llm.sampling import bounded_ids, held_out
 
 #: Labelled rows that the network is fitted on, at most.
@@ -180,6 +180,8 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
         s = Scoring(sent.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.scores(batch.column(at).to_pylist()), pa.float64())], [*batch.schema.names, "score"])
+        del s
+        give_back()
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.mapInArrow(run, f"{cols}, score double")
