@@ -77,14 +77,21 @@ def clean_aperture(w: Column, h: Column, cw: Column, ch: Column, dx: Column, dy:
     The left edge is rounded down, the top edge to the nearest; an empty
     image has its edges at 0.
     """
-    one = fraction(F.lit(1), F.lit(1))
-    edge = lambda size, offset, aperture: subtract(add(offset, fraction(size - 1, F.lit(2))), over(subtract(aperture, one), 2))
-    far = lambda aperture, near: round_near(add(subtract(aperture, one), fraction(near, F.lit(1))))
-    near = F.struct(
-        F.when(w == 0, F.lit(0).cast("long")).otherwise(round_down(edge(w, dx, cw))).alias("left"),
-        F.when(h == 0, F.lit(0).cast("long")).otherwise(round_near(edge(h, dy, ch))).alias("top"),
-    )
-    return let(near, lambda n: F.struct(n["left"].alias("left"), n["top"].alias("top"), far(cw, n["left"]).alias("right"), far(ch, n["top"]).alias("bottom")))
+    pair = lambda num, den: F.struct(num.alias("num"), den.alias("den"))
+    # offset + (size - aperture) / 2 over one denominator. Rounding down needs no lowest terms; rounding to the nearest only
+    # below zero, where it is by halves of the denominator.
+    edge = lambda size, offset, aperture: pair(offset["num"] * aperture["den"] * 2 + (size.cast("long") * aperture["den"] - aperture["num"]) * offset["den"], offset["den"] * aperture["den"] * 2)
+    nearest = lambda f: let(f, lambda f: F.when(f["num"] >= 0, _floor_div(f["num"] + _floor_div(f["den"], F.lit(2).cast("long")), f["den"])).otherwise(round_near(fraction(f["num"], f["den"]))))
+    far = lambda aperture, near: nearest(pair(aperture["num"] - aperture["den"] + near * aperture["den"], aperture["den"]))
+
+    def corners(f: Column) -> Column:
+        near = F.struct(
+            F.when(w == 0, F.lit(0).cast("long")).otherwise(round_down(edge(w, f["dx"], f["cw"]))).alias("left"),
+            F.when(h == 0, F.lit(0).cast("long")).otherwise(nearest(edge(h, f["dy"], f["ch"]))).alias("top"),
+        )
+        return let(near, lambda n: F.struct(n["left"].alias("left"), n["top"].alias("top"), far(f["cw"], n["left"]).alias("right"), far(f["ch"], n["top"]).alias("bottom")))
+
+    return let(F.struct(cw.alias("cw"), ch.alias("ch"), dx.alias("dx"), dy.alias("dy")), corners)
 
 
 def centred_aperture(w: int, h: int, cw: int, ch: int) -> tuple[Column, Column, Column, Column]:

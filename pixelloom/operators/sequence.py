@@ -34,11 +34,11 @@ def rle_decode(runs: DataFrame, track: str, run: str = "run", count: str = "coun
 
 
 def rle_lookup(wanted: DataFrame, runs: DataFrame, track: str, index: str, value: str, default: int = 0) -> DataFrame:
-    """wanted (track, index) with the value of the run that holds the sample; `default`, not null, outside of all runs."""
+    """wanted (track, index) with the value of the run that holds the sample; `default`, not null, outside of all runs. By one sorted stream for each track, as as_of_entries."""
     end = F.sum("count").over(W.partitionBy(track).orderBy("run").rowsBetween(W.unboundedPreceding, 0))
-    spans = runs.select(F.col(track).alias("__track"), value, (end - F.col("count")).alias("__from"), end.alias("__to"))
-    hit = (F.col(track) == F.col("__track")) & (F.col(index) >= F.col("__from")) & (F.col(index) < F.col("__to"))
-    return wanted.select(track, index).join(spans, hit, "left").select(track, index, F.coalesce(F.col(value), F.lit(default)).alias(value))
+    spans = runs.where("count > 0").select(track, (end - F.col("count")).alias("__from"), F.struct(F.col(value).alias("v"), end.alias("to")).alias("__span"))
+    found = as_of_entries(wanted, spans, track, index, "__from", "__span")
+    return found.select(track, index, F.coalesce(F.when(F.col(index) < F.col("__span.to"), F.col("__span.v")), F.lit(default)).alias(value))
 
 
 def decode_times(samples: DataFrame, track: str, index: str, duration: str) -> DataFrame:

@@ -312,3 +312,21 @@ def test_layout_property_errors():
     for bad in (bytes([1, 0, 0, 0]) + b"none", bytes([2]) + good[1:], good[:8] + bytes(4) + good[12:], good[:17] + b"\x07" + good[18:]):
         with pytest.raises(ValueError):
             derived.layout_of(bad, 4, 4)
+
+
+def test_clean_aperture_equals_exact_fractions(spark):
+    """Also where fractions aren't in lowest terms over the common denominator, and edges lie below zero."""
+    import random
+    from fractions import Fraction
+
+    r = random.Random(1)
+    rows = [tuple(r.randrange(*s) for s in ((0, 300), (0, 300), (1, 400), (1, 9), (1, 400), (1, 9), (-300, 300), (1, 9), (-300, 300), (1, 9))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "w int, h int, a int, b int, c int, d int, e int, f int, g int, i int")
+    f = lambda n, d: geo.fraction(F.col(n), F.col(d))
+    zero = lambda a, b: -(-a // b) if a < 0 else a // b
+    near = lambda x: zero(x.numerator + x.denominator // 2, x.denominator)
+    for q in df.select("*", geo.clean_aperture(F.col("w"), F.col("h"), f("a", "b"), f("c", "d"), f("e", "f"), f("g", "i")).alias("box")).collect():
+        cw, ch = Fraction(q.a, q.b), Fraction(q.c, q.d)
+        x, y = Fraction(q.e, q.f) + (q.w - cw) / 2, Fraction(q.g, q.i) + (q.h - ch) / 2
+        left, top = (zero(x.numerator, x.denominator) if q.w else 0), (near(y) if q.h else 0)
+        assert tuple(q.box) == (left, top, near(cw - 1 + left), near(ch - 1 + top))
