@@ -28,8 +28,8 @@ def properties_in_order(links: DataFrame, properties: DataFrame, item: str, prop
 
 
 def first_property(links: DataFrame, item: str, kind: str, prop: str, order: str) -> DataFrame:
-    """(item, kind, prop): the first property of each type."""
-    return links.groupBy(item, kind).agg(F.min(F.struct(order, prop)).getField(prop).alias(prop))
+    """(item, kind, prop): the first property of each type; a property without an order is never first, and a type of only such ones has a null."""
+    return links.groupBy(item, kind).agg(F.min(F.when(F.col(order).isNotNull(), F.struct(order, prop))).getField(prop).alias(prop))
 
 
 def numbered(rows: DataFrame, item: str, order: list[str], wanted: Column | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def numbered(rows: DataFrame, item: str, order: list[str], wanted: Column | None
 
 def descriptive_first(links: DataFrame, item: str, order: list[str], kind: Column) -> DataFrame:
     """links with pos: descriptive properties before transformative ones, each in their order."""
-    return links.withColumn("pos", F.row_number().over(W.partitionBy(item).orderBy(kind.isin(*TRANSFORMATIVE).cast("int"), *order)))
+    return links.withColumn("pos", F.row_number().over(W.partitionBy(item).orderBy(F.coalesce(kind.isin(*TRANSFORMATIVE), F.lit(False)).cast("int"), *order)))
 
 
 def first_reference(refs: DataFrame, source: str, kind: str, box: str, position: str, target: str) -> DataFrame:
