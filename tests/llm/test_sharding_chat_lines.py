@@ -35,6 +35,14 @@ def test_shards_equal_brute_force(spark, limit):
     assert got == want
 
 
+def test_shards_deeper_than_the_bits_of_the_oracle(spark):
+    """The MD5 of 4982 and 10760 have 24 bits in common: each document has its shard all the same."""
+    rows = [(4982, "a" * 200), (10760, "b" * 200), (4400, "c"), (15208, "d")]
+    got = {r.doc_id: (r.shard, r.shard_depth) for r in sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=300).collect()}
+    assert list(map(got.get, (r[0] for r in rows))) == brute_shards(rows, 300)
+    assert got[4982][1] == got[10760][1] > 24
+
+
 def test_shard_limit_and_hot_key(spark):
     rows = [(7, "a" * 100)] * 300 + [(7, "d" * n) for n in (1400, 1500, 1501, 2999, 3000, 3001, 9000)] + [(i, "b" * 50) for i in range(100, 200)] + [(None, "c" * 10)] * 2 + [(7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
