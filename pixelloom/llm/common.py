@@ -65,7 +65,18 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, is computed once and survives lost executors."""
     path = scratch_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, lazily or not, so their disk is free before the process ends."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.remove(table._scratch_path)
 
 
 def give_back() -> None:

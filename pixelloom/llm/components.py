@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import written
+from pixelloom.llm.common import forget, written
 
 
 def _fingerprint(e: DataFrame) -> tuple:
@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e.where("ok and a <> b").select("a", "b").distinct())
     seen = _fingerprint(e)
     while seen[0]:
-        e = written(_small_star(_large_star(e)))
+        before, e = e, written(_small_star(_large_star(e)))
+        forget(before)
         now = _fingerprint(e)
         if now == seen:
             break

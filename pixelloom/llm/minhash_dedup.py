@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import block_pairs, broadcast_if_small, give_back, looked_up, prepare, written
+from pixelloom.llm.common import block_pairs, broadcast_if_small, forget, give_back, looked_up, prepare, written
 from pixelloom.llm.components import components
 
 #: MinHash samples of an odd sketch, and its bits. Samples make the estimate precise, bits keep hits from cancelling
@@ -45,6 +45,10 @@ MEMO = 150_000
 MISS = 5e-7
 #: Rows of ids, class numbers or hashes that a broadcast may hold (up to 32 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+#: Blocks up to which a bucket stays in one row, and is compared with itself there; the blocks of larger ones are copied and dealt as pairs.
+WHOLE = 4
+#: Members of a block.
+_MEMBERS = "array<struct<id:long,comp:long,keys:array<long>,sketch:array<long>>>"
 #: Pairs that one copy of a set serves; the set of a class with more pairs is copied.
 PAIRS_A_COPY = 1024
 
@@ -231,40 +235,50 @@ def _alike(pairs: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
 
 
 def _across(members: DataFrame, known: DataFrame, bound: int) -> DataFrame:
-    """members (key, id, comp) and known (id, keys, sketch) -> candidate pairs (a, b) of different components that share a key, block against block; each from the first key of both."""
+    """members (key, id, comp) and known (id, keys, sketch) -> a written table of candidate pairs (a, b) of different components that share a key, block against block; each from the first key of both. A key of at most WHOLE blocks is compared with itself where it is put together; only larger ones are dealt as pairs of blocks."""
     size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    blocks = (
-        members.join(size.select("key", "size"), "key")
-        .join(known, "id")
-        .withColumn("parts", F.expr(f"cast(ceil(size / {BLOCK}) as long)"))
-        .withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
-        .groupBy("key", "parts", "block")
-        .agg(F.collect_list(F.struct("id", "comp", "keys", "sketch")).alias("m"))
-    )
-    two = block_pairs(written(blocks), ["key"], "m", "parts", same=True)
+    apart = written(members.join(size.select("key", F.expr(f"if(size <= {WHOLE * BLOCK}, 1L, cast(ceil(size / {BLOCK}) as long))").alias("parts")), "key"))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(known, "id").withColumn("block", F.expr("pmod(xxhash64(id), parts)"))
+        return dealt.groupBy("key", "parts", "block").agg(F.collect_list(F.struct("id", "comp", "keys", "sketch")).alias("m"))
+
+    two = blocks(apart.where("parts = 1")).select("key", F.col("m").alias("p"), F.lit(None).cast(_MEMBERS).alias("q"))
+    many, done = apart.where("parts > 1"), [apart]
+    if not many.isEmpty():
+        done.append(written(blocks(many)))
+        two = two.unionByName(block_pairs(done[1], ["key"], "m", "parts", same=True))
 
     def arrays(m: pa.Scalar) -> tuple[np.ndarray, ...]:
         v = m.values
         return v.field("id").to_numpy(), v.field("comp").to_numpy(), v.field("keys").flatten().to_numpy().reshape(len(v), -1), v.field("sketch").flatten().to_numpy().view(np.uint64).reshape(len(v), -1)
 
+    def tiles(m: pa.Scalar) -> list[tuple[np.ndarray, ...]]:
+        own = arrays(m)
+        return [tuple(v[lo : lo + BLOCK] for v in own) for lo in range(0, len(own[0]), BLOCK)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for key, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                (ia, ca, ka, sa), (ib, cb, kb, sb) = arrays(x), arrays(y)
-                i, j = np.nonzero(ca[:, None] != cb[None, :])
-                for lo in range(0, len(i), 16384):
-                    near = np.bitwise_count(sa[i[lo : lo + 16384]] ^ sb[j[lo : lo + 16384]]).sum(1, dtype=np.int32) <= bound
-                    i[lo : lo + 16384][~near] = -1
-                i, j = i[i >= 0], j[i >= 0]
-                both = ka[i][:, :, None] == kb[j][:, None, :]
-                first = np.where(both.any(2), ka[i], np.iinfo(np.int64).max).min(1) == key
-                i, j = i[first], j[first]
-                a.append(np.maximum(ia[i], ib[j]))
-                b.append(np.minimum(ia[i], ib[j]))
+                p, q = tiles(x), tiles(y) if y.is_valid else None
+                for n, (ia, ca, ka, sa) in enumerate(p):
+                    for ib, cb, kb, sb in q or p[n:]:
+                        i, j = np.nonzero(ca[:, None] != cb[None, :])
+                        for lo in range(0, len(i), 16384):
+                            near = np.bitwise_count(sa[i[lo : lo + 16384]] ^ sb[j[lo : lo + 16384]]).sum(1, dtype=np.int32) <= bound
+                            i[lo : lo + 16384][~near] = -1
+                        i, j = i[i >= 0], j[i >= 0]
+                        both = ka[i][:, :, None] == kb[j][:, None, :]
+                        first = np.where(both.any(2), ka[i], np.iinfo(np.int64).max).min(1) == key
+                        i, j = i[first], j[first]
+                        a.append(np.maximum(ia[i], ib[j]))
+                        b.append(np.minimum(ia[i], ib[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return two.mapInArrow(run, "a long, b long").distinct()
+    more = written(two.mapInArrow(run, "a long, b long").distinct())
+    forget(*done)
+    return more
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int | None = None, rows: int = 4) -> DataFrame:
@@ -292,10 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound = sketch_bound(SKETCH_SAMPLES, percent)
     centre = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("b"))
     pairs = written(members.join(centre, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    links = written(_confirmed(written(_alike(pairs, sets, bound)), sets, percent))
+    alike = written(_alike(pairs, sets, bound))
+    links = written(_confirmed(alike, sets, percent))
+    forget(pairs, alike)
     first = written(components(links))
     labelled = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    more = written(_across(labelled, wanted.select("id", "keys").join(sets.select("id", "sketch"), "id"), bound))
+    more = _across(labelled, wanted.select("id", "keys").join(sets.select("id", "sketch"), "id"), bound)
+    forget(members, wanted, first)
     edges = links.union(_confirmed(more, sets, percent))
 
     # From classes to ids: a class is its smallest id, and an id of several classes links them.
@@ -306,8 +323,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = full.join(broadcast_if_small(several, BROADCAST_IDS), "id", "left_semi").select("id", "h1", "h2").distinct()
         ends = ends.union(own.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep"))
     comps = written(components(ends))
+    forget(sets, links, more)
     known = classes.select("h1", "h2", "rep", "n").join(comps.toDF("rep", "component"), "rep", "left").where("n > 1 or component is not null")
     known = written(known.select("h1", "h2", F.coalesce("component", "rep").alias("comp")))
+    forget(classes, comps)
     out = feats.select("id", "n_shingles", "h1", "h2")
     out = looked_up(out, known, ["h1", "h2"], BROADCAST_IDS)
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))

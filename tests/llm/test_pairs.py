@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.llm import embedding_dedup, maxscore, minhash_dedup
+from pixelloom.llm import common, embedding_dedup, maxscore, minhash_dedup
 from pixelloom.llm.components import components
 
 
@@ -224,3 +225,27 @@ def test_maxscore_prunes_and_survives_large_numbers():
     assert s.top(np.ones(16, int), -1, 1, 0) == [(16000, 5)] and s.probed <= maxscore.PART * 16
     big = maxscore.Shard(np.arange(3), np.arange(3), np.array([[2**40, 1], [2**40, 2], [2**40, 3]]))
     assert big.top(np.array([2**20, 1]), 9, 2, None) == [(2**60 + 3, 2), (2**60 + 2, 1)]
+
+
+@pytest.mark.parametrize(("block", "whole", "copied"), [(256, 4, 0), (8, 4, 1), (16, 1, 1)])
+def test_minhash_buckets_in_one_row_are_not_copied(spark, monkeypatch, block, whole, copied):
+    """Chains of near copies around texts that are near none of them: components equal brute force, and only buckets of more than `whole` blocks are dealt as pairs of blocks."""
+    rng, rows = random.Random(5), []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(60):
+            t = list(base)
+            for at in rng.sample(range(120), rng.randrange(1, 5)):
+                t[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    dealt, plain, before = [], minhash_dedup.block_pairs, set(common._scratch)
+    monkeypatch.setattr(minhash_dedup, "block_pairs", lambda *a, **k: dealt.append(1) or plain(*a, **k))
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "WHOLE", whole)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    sets = word_sets(rows, 3)
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert links and got == classes(sets, links)
+    assert len(dealt) == copied
+    left = [p.removeprefix("file://") for p in common._scratch if p not in before]
+    assert sum(os.path.exists(f"{p}/_SUCCESS") for p in left) == len(left) < 16
