@@ -223,6 +223,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 inter = int((z[1:] == z[:-1]).sum())
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -275,6 +276,7 @@ def _across(members: DataFrame, known: DataFrame, bound: int) -> DataFrame:
                         a.append(np.maximum(ia[i], ib[j]))
                         b.append(np.minimum(ia[i], ib[j]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        give_back()
 
     more = written(two.mapInArrow(run, "a long, b long").distinct())
     forget(*done)
